@@ -6,14 +6,13 @@ fold, so that a later model sees what it will see on new text. The models are fi
 most ``max_train`` labelled rows (those with the smallest hash of their id); scoring reads whole texts on
 the executors.
 
-Features: lower-cased words, their first three to six characters, hashed into ``2**bits`` slots and
-weighted by log(1 + count); with them the number of words. A text's score also looks at its parts: the
-features are taken once from the whole text and once from each run of ``part_words`` words, and the
-probability is the largest, so a short attack in a long document is not averaged away.
-
-Edge cases: null and empty texts have no features and keep the smallest of their probabilities, with
-``rejected`` false; ids may be null or repeat (each row is scored on its own); without labelled rows of
-both kinds, all probabilities are 0; labels that are null are not used. Extra columns are kept.
+Features: which lower-cased words occur, and which first four and five characters of longer words, hashed
+into ``2**bits`` slots. A model uses the ``MAX_FEATURES`` slots that speak for its category most (chi-squared)
+among those in ``MIN_TEXTS`` texts of it at least. Whether a word occurs does not fade with a text's length.
+
+Edge cases: null and empty texts have no features and are not rejected; ids may be null or repeat (each row
+is scored on its own); without labelled rows of both kinds a category's probability is 0; labels that are
+null are not used. Extra columns are kept, those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -35,45 +34,54 @@ CATEGORIES: dict[str, Callable[[], Column]] = {
     "toxic": lambda: F.col("toxic") == 1,
     "toxic_junk": lambda: (F.col("toxic") == 1) & (F.col("quality") == 0),
 }
-BITS, MAX_TRAIN, FOLDS, PART_WORDS, BLOCK = 18, 12_000, 4, 400, 1 << 20
+BITS, MAX_TRAIN, FOLDS, MAX_FEATURES, MIN_TEXTS, BLOCK = 20, 20_000, 4, 400, 3, 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
-def features(data: np.ndarray, off: np.ndarray, bits: int, part_words: int) -> tuple[Rows, np.ndarray, np.ndarray]:
-    """Features of each part of each text: rows, words in each part, and each part's text."""
+def features(data: np.ndarray, off: np.ndarray, bits: int, wanted: np.ndarray | None = None) -> Rows:
+    """The slots of each text's words and word beginnings, each once; of those marked in ``wanted``, if given."""
     data = LOWER[data]
     s, e, first = words(data, off, _WORD)
-    n_words = np.diff(first)
-    doc = np.repeat(np.arange(len(off) - 1), n_words)
-    if part_words:
-        n_parts = np.maximum(1, -(-n_words // part_words))
-        start = np.concatenate([[0], np.cumsum(n_parts)])
-        part = start[doc] + (np.arange(len(s)) - first[doc]) // part_words
-        of = np.repeat(np.arange(len(off) - 1), n_parts)
-    else:
-        part, of = doc, np.arange(len(off) - 1)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     h = SpanHash(data)
     lead = (data & 0xC0) != 0x80  # first bytes of characters
     where = np.flatnonzero(np.append(lead, True))
     at = np.searchsorted(where, s)
-    keys, rows = [h(s, e)], [part]
-    for k in (3, 4, 5, 6):
+    keys, rows = [h(s, e)], [doc]
+    for k in (4, 5):
         end = where[np.minimum(at + k, len(where) - 1)]
         ok = end < e
         keys.append(h(s[ok], end[ok]) + np.uint64(k))
-        rows.append(part[ok])
+        rows.append(doc[ok])
     slot = (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64)
-    code = np.concatenate(rows) * (1 << bits) + slot
-    code, count = np.unique(code, return_counts=True)
+    row = np.concatenate(rows)
+    if wanted is not None:
+        ok = wanted[slot]
+        slot, row = slot[ok], row[ok]
+    code = np.unique((row << bits) | slot)
     idx, row = code & ((1 << bits) - 1), code >> bits
-    bounds = np.searchsorted(row, np.arange(len(of) + 1))
-    return Rows(idx, np.log1p(count), bounds), np.bincount(part, minlength=len(of)), of
+    return Rows(idx, np.ones(len(idx)), np.searchsorted(row, np.arange(len(off))))
+
+
+def _telling(x: Rows, y: np.ndarray, n: int) -> np.ndarray:
+    """The slots that tell y best."""
+    n1, n0 = float(y.sum()), float(len(y) - y.sum())
+    a = np.bincount(x.idx, y[x.row], n)
+    b = np.bincount(x.idx, minlength=n) - a
+    chi = (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1, (a + b) * (n1 + n0 - a - b))
+    chi[(a < MIN_TEXTS) | (a * n0 <= b * n1)] = 0
+    best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
+    return np.sort(best[chi[best] > 0])
 
 
-def _scale(rows: Rows) -> Rows:
-    norm = np.sqrt(np.bincount(rows.row, rows.val**2, len(rows.off) - 1)) + 1e-9
-    return Rows(rows.idx, rows.val / norm[rows.row] * 4.0, rows.off)
+def _narrow(x: Rows, slots: np.ndarray) -> Rows:
+    """The same rows over the given slots only, numbered from 0."""
+    if not len(slots):
+        return Rows(np.zeros(0, np.int64), np.zeros(0), np.zeros(len(x.off), np.int64))
+    at = np.minimum(np.searchsorted(slots, x.idx), len(slots) - 1)
+    ok = slots[at] == x.idx
+    return Rows(at[ok], x.val[ok], np.concatenate([[0], np.cumsum(ok)])[x.off])
 
 
 class Chain:
@@ -82,37 +90,46 @@ class Chain:
     def __init__(self, names: list[str], bits: int):
         self.names, self.bits, self.models = names, bits, []
 
-    def fit(self, rows: Rows, y: np.ndarray, fold: np.ndarray, l2: float = 1e-5) -> Chain:
+    def _one(self, x: Rows, extra: np.ndarray, y: np.ndarray, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slots = _telling(x, y, 1 << self.bits)
+        weight = np.where(y == 1, min(10.0, (len(y) - y.sum()) / y.sum()), 1.0)
+        w, v = fit_sparse(_narrow(x, slots), extra, y, len(slots), l2, weight)
+        return slots, w, v
+
+    @staticmethod
+    def _apply(model, x: Rows, extra: np.ndarray) -> np.ndarray:
+        slots, w, v = model
+        return sigmoid(_narrow(x, slots).dot(w) + extra @ v[:-1] + v[-1])
+
+    def fit(self, x: Rows, y: np.ndarray, fold: np.ndarray, l2: float = 1e-5) -> Chain:
         """``y``: a column of 0 and 1 for each category. ``fold``: each row's fold."""
-        n, x = 1 << self.bits, _scale(rows)
         extra = np.zeros((len(fold), 0))
         for c in range(len(self.names)):
             t = y[:, c].astype(float)
-            if t.min(initial=1) == t.max(initial=0):
-                self.models.append(None)
-                extra = np.hstack([extra, np.zeros((len(fold), 1))])
-                continue
-            weight = np.where(t == 1, min(10.0, (len(t) - t.sum()) / t.sum()), 1.0)
             oof = np.zeros(len(t))
-            for f in np.unique(fold):
-                a, b = fold != f, fold == f
-                if t[a].min() == t[a].max():
-                    oof[b] = t[a].mean()
-                    continue
-                w, v = fit_sparse(x.pick(a), extra[a], t[a], n, l2, weight[a])
-                oof[b] = sigmoid(x.pick(b).dot(w) + extra[b] @ v[:-1] + v[-1])
-            w, v = fit_sparse(x, extra, t, n, l2, weight)
-            self.models.append((w.astype(np.float32), v))
+            if t.min(initial=1) == t.max(initial=0) or not len(t):
+                self.models.append(None)
+            else:
+                for f in np.unique(fold) if c + 1 < len(self.names) else ():
+                    a, b = fold != f, fold == f
+                    oof[b] = self._apply(self._one(x.pick(a), extra[a], t[a], l2), x.pick(b), extra[b]) if 0 < t[a].sum() < a.sum() else t[a].mean() if a.any() else 0
+                self.models.append(self._one(x, extra, t, l2))
             extra = np.hstack([extra, oof[:, None]])
         return self
 
-    def predict(self, rows: Rows) -> np.ndarray:
-        x = _scale(rows)
-        out = np.zeros((len(rows.off) - 1, len(self.names)))
+    def wanted(self) -> np.ndarray:
+        """Which slots some model uses."""
+        used = np.zeros(1 << self.bits, bool)
+        for m in self.models:
+            if m is not None:
+                used[m[0]] = True
+        return used
+
+    def predict(self, x: Rows) -> np.ndarray:
+        out = np.zeros((len(x.off) - 1, len(self.names)))
         for c, m in enumerate(self.models):
             if m is not None:
-                w, v = m
-                out[:, c] = sigmoid(x.dot(w) + out[:, :c] @ v[:-1] + v[-1])
+                out[:, c] = self._apply(m, x, out[:, :c])
         return out
 
 
@@ -125,26 +142,26 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Callable[[],
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     names = [f"y{i}" for i in range(len(categories))]
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.list_(pa.int64())), ("idx", pa.binary()), ("val", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.list_(pa.int64())), ("idx", pa.binary())])
 
     def run(batches):
         for b in blocks(batches, 0, BLOCK):
-            rows, _, _ = features(*text_bytes(b.column(0)), bits, 0)
-            o = rows.off
-            parts = [(rows.idx[i:j].astype("<u4").tobytes(), rows.val[i:j].astype("<f4").tobytes()) for i, j in zip(o[:-1], o[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), b.column(2).cast(pa.list_(pa.int64())), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], schema=schema)
+            rows = features(*text_bytes(b.column(0)), bits)
+            parts = [rows.idx[i:j].astype("<u4").tobytes() for i, j in zip(rows.off[:-1], rows.off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), b.column(2).cast(pa.list_(pa.int64())), pa.array(parts, pa.binary())], schema=schema)
 
-    got = found.select("text", F.col("doc_id").cast("long"), F.array(*[F.col(n).cast("long") for n in names]).alias("y")).mapInArrow(run, "doc_id long, y array<long>, idx binary, val binary").toArrow()
+    got = found.select("text", F.col("doc_id").cast("long"), F.array(*[F.col(n).cast("long") for n in names]).alias("y")).mapInArrow(run, "doc_id long, y array<long>, idx binary").toArrow()
     if not got.num_rows:
         return chain.fit(Rows(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64)), np.zeros((0, len(names))), np.zeros(0))
+    # the rows come in any order; the model must not depend on it
+    got = got.sort_by([("doc_id", "ascending"), ("idx", "ascending")])
     idx = [np.frombuffer(x, "<u4") for x in got["idx"].to_pylist()]
-    off = np.concatenate([[0], np.cumsum([len(x) for x in idx])])
-    val = np.concatenate([np.frombuffer(x, "<f4") for x in got["val"].to_pylist()]).astype(float)
-    order = np.asarray(got["doc_id"].to_numpy())
-    return chain.fit(Rows(np.concatenate(idx).astype(np.int64), val, off), np.asarray(got["y"].to_pylist()), order % FOLDS)
+    off = np.concatenate([[0], np.cumsum([len(x) for x in idx])]).astype(np.int64)
+    flat = np.concatenate(idx).astype(np.int64)
+    return chain.fit(Rows(flat, np.ones(len(flat)), off), np.asarray(got["y"].to_pylist()), np.asarray(got["doc_id"].to_numpy()) % FOLDS)
 
 
-def score(docs: DataFrame, chain: Chain, target: str = "toxic", threshold: float = 0.5, part_words: int = PART_WORDS) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, target: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``p_<category>`` for each category and ``rejected`` (p of ``target`` >= threshold)."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(chain)
@@ -155,16 +172,11 @@ def score(docs: DataFrame, chain: Chain, target: str = "toxic", threshold: float
 
     def run(batches):
         m = model.value
+        wanted = m.wanted()
         for b in blocks(batches, 0, BLOCK):
-            data, off = text_bytes(b.column(0))
-            whole, n_words, _ = features(data, off, m.bits, 0)
-            p = m.predict(whole)
-            rows, n, of = features(data, off, m.bits, part_words)
-            parts = m.predict(rows)
-            # a last part of a few words says little on its own
-            parts[n < part_words // 4] = 0
-            np.maximum.at(p, of, parts)
-            rejected = (p[:, at] >= threshold) & (n_words > 0)
+            x = features(*text_bytes(b.column(0)), m.bits, wanted)
+            p = m.predict(x)
+            rejected = (p[:, at] >= threshold) & (np.diff(x.off) > 0)
             yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(rejected)], names=["__row", *names, "rejected"])
 
     out = T.StructType([src.schema["__row"], *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("rejected", T.BooleanType())])
