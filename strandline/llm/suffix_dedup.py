@@ -9,8 +9,9 @@ stretch of text, and equal stretches are one *type*:
 3. types that share a minimizer without being equal bring their text to one place. There the windows are
    sorted in suffix order, and the previous and next smaller text positions give each window's longest
    previous factor: the earlier match, if it is as long as a window;
-4. a minimizer with more than ``HOT`` types (a line that a third of all documents share) is not gathered:
-   its stretches are routed again by a longer ``k``, up to whole windows, of which each is one type.
+4. a minimizer with more than ``HOT`` types (a line that a third of all documents share) is not gathered,
+   so a place holds ``HOT`` stretches of less than two windows each at most, which is 1.4 MB: the rest is
+   routed again by a longer ``k``, up to whole windows, of which each is one type.
 
 So no group grows with the corpus, and nothing is capped or sampled. ``keep_first`` removes later copies
 only; without it every copy goes.
@@ -37,13 +38,13 @@ from strandline.llm.hashing import SpanHash, blocks, text_bytes
 from strandline.llm.stream import gathered
 from strandline.llm.work import Scratch
 
-LENGTH, CHUNK, HOT, SHARD = 200, 1 << 20, 128, 1 << 20
+LENGTH, CHUNK, HOT, SHARD = 200, 1 << 20, 4096, 1 << 20
 _POS_BITS = np.uint64(28)
 
 
 def grams(length: int) -> list[int]:
     """Lengths of the substrings that route windows, from level to level; the last is the window itself."""
-    return [max(1, length // 4), max(1, length * 16 // 25), max(1, length * 22 // 25), length]
+    return [max(1, length * i // 4) for i in (1, 2, 3, 4)]
 
 
 def stretches(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
