@@ -40,7 +40,7 @@ def header_schema(fields: list[tuple[str, str]]) -> T.StructType:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of whole files, numbered within their file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), "value")
     return whole.select("doc", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
 
 
@@ -210,7 +210,7 @@ def build_valid(c: str = "") -> Column:
 
 def read_builds(spark: SparkSession, path: str) -> DataFrame:
     """SRC-46: build records of JSON arrays with their place; one bad record stops the query."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", f"array<struct<{BUILDS.replace(' ', ':').replace(',:', ', ')}>>")).alias("pos", "b")).select("b.*", "pos")
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{BUILDS.replace(' ', ':').replace(',:', ', ')}>>")).alias("pos", "b")).select("b.*", "pos")
     return raw.where(F.when(build_valid(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a bad build record at "), F.col("pos").cast("string")))))
 
 
