@@ -103,7 +103,8 @@ def _families(sig: DataFrame, scratch: Scratch, threshold: float, m: int, rows:
     half = sig.select("doc_id", F.posexplode("left").alias("i", "a"), "right").select("doc_id", "i", "a", F.posexplode("right").alias("j", "b"))
     keys = half.select(F.xxhash64("a", "b", "i", "j").alias("key"), "doc_id")
     lead = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("lead")).where("n > 1").select("key", "lead")
-    pairs = keys.join(lead, "key").where("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+    # both sides grow with the corpus: never a broadcast, whatever a small table would allow
+    pairs = keys.join(lead.hint("merge"), "key").where("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
     sketch = sig.select("doc_id", "sketch")
     both = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -192,18 +193,18 @@ def classes(docs: DataFrame, percent: int = 80, n_words: int = WORDS, m: int = C
     dealt = family.join(load, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     meet = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(F.col("node").alias("doc_id"), meet.alias("meet"), "component", "block", (F.col("block") == F.col("other")).alias("alone"))
-    meets = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("meet", "component", "block", "alone")).alias("groups"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(meets, "doc_id")
-    schema = pa.schema([("doc_id", pa.int64()), ("groups", pa.list_(pa.struct([("meet", pa.int64()), ("component", pa.int64()), ("block", pa.int64()), ("alone", pa.bool_())]))), ("shingles", pa.binary())])
+    dealt = dealt.select(F.col("node").alias("doc_id"), meet.alias("meet"), "component", "block")
+    meets = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("meet", "component", "block")).alias("groups"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(meets.hint("merge"), "doc_id")
+    schema = pa.schema([("doc_id", pa.int64()), ("groups", pa.list_(pa.struct([("meet", pa.int64()), ("component", pa.int64()), ("block", pa.int64())]))), ("shingles", pa.binary())])
 
     def reshingle(batches):
         for b in blocks(batches, 1, BLOCK):
             v, bounds = shingle_sets(*text_bytes(b.column(1)), n_words)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(schema.field(1).type), pa.array([v[a:c].tobytes() for a, c in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], schema=schema)
 
-    sets = texts.select("doc_id", "text", "groups").mapInArrow(reshingle, "doc_id long, groups array<struct<meet:long,component:long,block:long,alone:boolean>>, shingles binary")
-    sets = sets.select("doc_id", "shingles", F.explode("groups").alias("g")).select("g.meet", "g.component", "doc_id", "g.block", "g.alone", "shingles")
+    sets = texts.select("doc_id", "text", "groups").mapInArrow(reshingle, "doc_id long, groups array<struct<meet:long,component:long,block:long>>, shingles binary")
+    sets = sets.select("doc_id", "shingles", F.explode("groups").alias("g")).select("g.meet", "g.component", "doc_id", "g.block", "shingles")
     sets = sets.repartition("meet").sortWithinPartitions("meet", "component", "doc_id")
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
