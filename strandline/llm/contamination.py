@@ -96,9 +96,14 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Backward search and location over a sequence of numbers, by a wavelet matrix and sampled suffix positions."""
+    """Backward search and location over a sequence of numbers, by a wavelet matrix and sampled suffix positions.
+
+    The sequence ends with a separator (0); one is added if it doesn't.
+    """
 
     def __init__(self, seq: np.ndarray, sigma: int, sample: int = SAMPLE):
+        if not len(seq) or seq[-1] != 0:
+            seq = np.append(seq, 0)
         n = len(seq)
         sa = suffix_array(seq)
         before = seq[sa - 1]
