@@ -403,13 +403,6 @@ def build_local_records(rows: list[tuple]) -> bytes:
     return b"".join(k + _location(a, o) + struct.pack("<I", s) for k, a, o, s in sorted(rows))
 
 
-def parse_local_header(data: bytes) -> tuple[bytes, int, int] | None:
-    """SRC-42: (ekey, size, flags) of a 30-byte blob header, whose key is stored backward; null if too short."""
-    if len(data) < 30:
-        return None
-    return data[:16][::-1], struct.unpack_from("<I", data, 16)[0], struct.unpack_from("<H", data, 20)[0]
-
-
 # --- the patch index --------------------------------------------------------------------------------------------
 
 

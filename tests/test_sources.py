@@ -157,3 +157,38 @@ def test_builds_and_responses(spark, tmp_path):
     m = spark.range(1).select(X.mime_wrap(F.lit("a|b\nc|d")).alias("m"))
     p = m.select(X.mime_parts(F.col("m")).alias("p"), X.mime_parts(F.concat(F.lit(" "), F.col("m"))).alias("q")).first()
     assert (p["p"]["body"], p["p"]["valid"], p["q"]["valid"]) == ("a|b\nc|d", True, False)
+
+
+def test_storage_formats(spark, tmp_path):
+    from strandline.operators.lookups import vfs_resolve
+    from strandline.sources import storage as S
+
+    rows = sorted((key(9), i % 1023, i, i) for i in range(300))
+    log = [(key(9), 1, 2, 3, "Normal"), (key(9), 0, 0, 0, "Delete")]
+    raw = S.build_local_index(5, rows, log)
+    bucket, got, got_log = S.parse_local_index(raw)
+    assert (bucket, [r[1:] for r in got], [r[1:] for r in got_log]) == (5, rows, log)
+    with pytest.raises(FormatError):
+        S.parse_local_index(raw[:50] + bytes([raw[50] ^ 1]) + raw[51:])
+    res = [(b, key(), u, (0, 5, 0, 0)) for b in (0, 3) for u in ("Set", "Delete") for _ in range(20)]
+    assert [(r[0], *r[2:]) for r in S.parse_residency(S.build_residency(res))] == res
+    keys = [key(9) for _ in range(5)]
+    assert [r[1] for r in S.parse_lru(S.build_lru(keys))] == keys
+    assert S.parse_lru(S.build_lru([])) == []
+    assert S.parse_lru(S.build_lru(keys)[:-1]) is None
+    head = S.build_local_header(key(), 100, 7)
+    assert S.parse_local_header(head, 7)["valid"]
+    assert not S.parse_local_header(head, 8)["valid"]
+    edges = [(key(), i, [(key(), 1, key(), 2, 0) for _ in range(1 + i % 2)]) for i in range(150)]
+    flat = [(t, s, *p) for t, s, ps in sorted(edges) for p in ps]
+    assert S.parse_patch_archive(S.build_patch_archive(edges)) == flat
+    assert S.parse_patch_archive(S.build_patch_archive(edges, info=(key(), key(), 1, 2, "z"))) == flat
+    files = {"a/b/c.txt": [(0, 10, 1)], "a/d": [(0, 4, 0), (4, 4, 2)], "top": []}
+    boxes = [(key(9), i) for i in range(40)]
+    vfs = S.build_vfs(files, boxes)
+    parsed = S.parse_vfs(vfs)
+    assert {p for p, _ in parsed["paths"]} == set(files)
+    assert [c[1:3] for c in parsed["containers"]] == boxes
+    path = put(tmp_path / "v", "x.vfs", vfs)
+    got = vfs_resolve(*(B.read(spark, k, path) for k in ("vfs_paths", "vfs_spans", "vfs_containers"))).collect()
+    assert {r["path"]: r["encoded_size"] for r in got} == {"a/b/c.txt": 1, "a/d": 0, "top": None}
