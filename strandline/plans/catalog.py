@@ -40,13 +40,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    import strandline.plans.catalog_more  # noqa: F401
+    import strandline.plans.catalog_more
+    import strandline.plans.catalog_rest  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    import strandline.plans.catalog_more  # noqa: F401
+    import strandline.plans.catalog_more
+    import strandline.plans.catalog_rest  # noqa: F401
 
     return dict(_ORACLES)
 
