@@ -34,7 +34,7 @@ CATEGORIES: dict[str, Callable[[], Column]] = {
     "toxic": lambda: F.col("toxic") == 1,
     "toxic_junk": lambda: (F.col("toxic") == 1) & (F.col("quality") == 0),
 }
-BITS, MAX_TRAIN, FOLDS, MAX_FEATURES, MIN_TEXTS, BLOCK = 20, 20_000, 4, 400, 3, 1 << 20
+BITS, MAX_TRAIN, FOLDS, MAX_FEATURES, MIN_TEXTS, BLOCK = 20, 12_000, 4, 400, 3, 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
@@ -64,17 +64,43 @@ def features(data: np.ndarray, off: np.ndarray, bits: int, wanted: np.ndarray |
     return Rows(idx, np.ones(len(idx)), np.searchsorted(row, np.arange(len(off))))
 
 
+def _chi(a: np.ndarray, n_a: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """How much each slot speaks for a category: in ``a`` texts of it, of ``n_a`` in all. 0 if it speaks against, or is rare."""
+    b = n_a - a
+    chi = (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1, n_a * (n1 + n0 - n_a))
+    chi[(a < MIN_TEXTS) | (a * n0 <= b * n1)] = 0
+    return chi
+
+
 def _telling(x: Rows, y: np.ndarray, n: int) -> np.ndarray:
     """The slots that tell y best."""
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    a = np.bincount(x.idx, y[x.row], n)
-    b = np.bincount(x.idx, minlength=n) - a
-    chi = (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1, (a + b) * (n1 + n0 - a - b))
-    chi[(a < MIN_TEXTS) | (a * n0 <= b * n1)] = 0
+    chi = _chi(np.bincount(x.idx, y[x.row], n), np.bincount(x.idx, minlength=n).astype(float), float(y.sum()), float(len(y) - y.sum()))
     best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
     return np.sort(best[chi[best] > 0])
 
 
+def _candidates(parts: list[np.ndarray], y: np.ndarray, n: int) -> list[np.ndarray]:
+    """The rows, cut down to four times the slots that any category's model may use.
+
+    Rows are counted a thousand at a time, so the whole sample is never spread out in memory.
+    """
+    seen, of = np.zeros(n), np.zeros((y.shape[1], n))
+    for i in range(0, len(parts), 1000):
+        part = parts[i : i + 1000]
+        idx = np.concatenate(part).astype(np.int64)
+        row = np.repeat(np.arange(i, i + len(part)), [len(p) for p in part])
+        seen += np.bincount(idx, minlength=n)
+        for c in range(y.shape[1]):
+            hit = y[row, c] == 1
+            of[c] += np.bincount(idx[hit], minlength=n)
+    keep = np.zeros(n, bool)
+    for c in range(y.shape[1]):
+        chi = _chi(of[c], seen, float(y[:, c].sum()), float(len(y) - y[:, c].sum()))
+        best = np.argsort(-chi, kind="stable")[: 4 * MAX_FEATURES]
+        keep[best[chi[best] > 0]] = True
+    return [p[keep[p]] for p in parts]
+
+
 def _narrow(x: Rows, slots: np.ndarray) -> Rows:
     """The same rows over the given slots only, numbered from 0."""
     if not len(slots):
@@ -154,11 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Callable[[],
     if not got.num_rows:
         return chain.fit(Rows(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64)), np.zeros((0, len(names))), np.zeros(0))
     # the rows come in any order; the model must not depend on it
-    got = got.sort_by([("doc_id", "ascending"), ("idx", "ascending")])
-    idx = [np.frombuffer(x, "<u4") for x in got["idx"].to_pylist()]
-    off = np.concatenate([[0], np.cumsum([len(x) for x in idx])]).astype(np.int64)
-    flat = np.concatenate(idx).astype(np.int64)
-    return chain.fit(Rows(flat, np.ones(len(flat)), off), np.asarray(got["y"].to_pylist()), np.asarray(got["doc_id"].to_numpy()) % FOLDS)
+    ids, raw = got["doc_id"].to_pylist(), got["idx"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i]))
+    y = np.asarray(got["y"].to_pylist())[order]
+    parts = _candidates([np.frombuffer(raw[i], "<u4") for i in order], y, 1 << bits)
+    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    flat = np.concatenate(parts).astype(np.int64)
+    return chain.fit(Rows(flat, np.ones(len(flat)), off), y, np.asarray([ids[i] for i in order]) % FOLDS)
 
 
 def score(docs: DataFrame, chain: Chain, target: str = "toxic", threshold: float = 0.5) -> DataFrame:
