@@ -251,8 +251,11 @@ class _Finder:
         """(chunk, a, b): byte ranges to remove, as they were found; they overlap."""
         s = self.scratch
         occ = self.occurrences()
-        again = occ.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh")
-        occ = s.save(occ.join(again, "mh", "left_semi"), "occurrences")
+        # written first, so that both sides of the join are plain shuffles and Spark can split a hot minimizer
+        again = s.save(occ.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh"), "minimizers")
+        s.release()
+        occ = s.save(occ.join(again.hint("merge"), "mh", "left_semi"), "occurrences")
+        s.drop(again)
         s.release()
         types, shared = self._types(occ, F.count("*"))
         out = [s.save(self._repeats(occ, types), "cuts")]
@@ -266,8 +269,9 @@ class _Finder:
             if level == len(self.ks) or hot.isEmpty():
                 break
             sub = self.reroute(hot, level)
-            again = sub.groupBy("mh").agg(F.sum("c").alias("k")).where("k > 1").select("mh")
+            again = s.save(sub.groupBy("mh").agg(F.sum("c").alias("k")).where("k > 1").select("mh"), "minimizers")
             sub = s.save(sub.join(again, "mh", "left_semi"), "rerouted")
+            s.drop(again)
             s.drop(ctx)
             types, shared = self._types(sub, F.sum("c"))
             out.append(s.save(self._repeats(sub, types), "cuts"))
