@@ -111,3 +111,24 @@ def test_weighted_pick(spark):
     s = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "host string, score double")
     assert W.weighted_pick(s, "score", 0.1, "host").first()["host"] == "a"
     assert W.weighted_pick(s, "score", 0.5, "host").first()["host"] == "b"
+
+
+def test_extension_points(spark):
+    from strandline.operators import extension as X
+    from strandline.sources import binary as B
+
+    X.register_hook("short", lambda data, key: F.octet_length(data) < 3)
+    df = spark.createDataFrame([(b"ab", None), (b"", None), (b"abcd", None)], "content binary, key binary")
+    got = X.validate_with(df, ["not_empty", "short", "md5"]).select("failed").collect()
+    assert [r["failed"] for r in got] == [["md5"], ["not_empty", "md5"], ["short", "md5"]]
+    rows = [(bytes([i]) * 16, i, i, None) for i in range(1, 6)]
+    assert X.round_trip(B.build_index(rows), lambda b: [r[1:] for r in B.parse_index(b)], B.build_index)
+    assert X.varint(b"\xac\x02\x01") == (300, 2)
+    keys = spark.createDataFrame([("00000000000000AB", "00" * 16), ("cd", "11" * 16)], "key_id string, key_value string")
+    chunks = spark.createDataFrame([("00000000000000ab",)], "key_id string")
+    assert X.with_keys(chunks, keys) == {0xAB: bytes(16)}
+    blobs = spark.createDataFrame([("d", b"0123456789")], "doc string, content binary")
+    index = spark.createDataFrame([("d", 2, 3), ("d", 8, 5)], "doc string, offset int, size int")
+    got = X.read_resident(index, blobs).orderBy("offset").collect()
+    assert [(bytes(r["data"]), r["resident"]) for r in got] == [(b"234", True), (b"89", False)]
+    assert X.row_map(["offset"]) is not None
