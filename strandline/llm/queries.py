@@ -37,7 +37,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A load of all documents, replayed once, then a revision and a deletion of some sources' rows with their undoing."""
+    """A load of all documents, committed and committed again: the second time changes nothing."""
     docs = _table(spark, sf_dir, "documents").select("source", "lang", "text")
     ledger = token_counts.TokenLedger(spark, Scratch(spark, "tokens").root, {"words": None, TOKENIZER.split(".")[0]: public_tokenizers.path(TOKENIZER)})
     ledger.commit("load", token_counts.signed(inserts=docs))
