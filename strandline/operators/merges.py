@@ -36,19 +36,27 @@ def append_log(log: DataFrame, changes: DataFrame, status: str, seq: str = "seq"
     return log.unionByName(new, allowMissingColumns=True)
 
 
+#: Numbers to a bucket of ``remove_and_renumber``.
+RUN = 1024
+
+
 def remove_and_renumber(files: DataFrame, bridge: DataFrame, gone: DataFrame, idx: str = "idx") -> tuple[DataFrame, DataFrame]:
     """SET-13: files and bridge without some files, numbered anew from 0.
 
-    The new number is the old one less the removed ones before it, from a running count over removed rows alone,
-    so no window runs over all files.
+    The new number is the old one less the removed ones before it: those in earlier buckets of ``RUN`` numbers,
+    from a running count over one row a bucket, and those in its own bucket, which are ``RUN`` at most.
     """
+    run = lambda c: F.floor(F.col(c) / RUN)
     g = gone.select(idx).distinct()
-    steps = g.select(F.col(idx).alias("__from"), F.row_number().over(Window.orderBy(idx)).alias("__k"))
-    bounds = steps.agg(F.array_sort(F.collect_list("__from")).alias("__gone"))
+    own = g.groupBy(run(idx).alias("__b")).agg(F.array_sort(F.collect_list(idx)).alias("__ids"))
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = files.select(run(idx).alias("__b")).distinct().join(own, "__b", "left")
+    before = buckets.withColumn("__before", F.coalesce(F.sum(F.coalesce(F.size("__ids"), F.lit(0))).over(w), F.lit(0)))
 
     def shifted(df: DataFrame) -> DataFrame:
-        kept = df.join(g, idx, "left_anti").crossJoin(F.broadcast(bounds))
-        return kept.withColumn(idx, (F.col(idx) - F.size(F.filter("__gone", lambda x: x < F.col(idx)))).cast(df.schema[idx].dataType)).drop("__gone")
+        kept = df.join(g, idx, "left_anti").withColumn("__b", run(idx)).join(before, "__b", "left")
+        inside = F.coalesce(F.size(F.filter("__ids", lambda x: x < F.col(idx))), F.lit(0))
+        return kept.withColumn(idx, (F.col(idx) - F.col("__before") - inside).cast(df.schema[idx].dataType)).select(*df.columns)
 
     return shifted(files), shifted(bridge)
 

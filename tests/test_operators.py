@@ -132,3 +132,14 @@ def test_extension_points(spark):
     got = X.read_resident(index, blobs).orderBy("offset").collect()
     assert [(bytes(r["data"]), r["resident"]) for r in got] == [(b"234", True), (b"89", False)]
     assert X.row_map(["offset"]) is not None
+
+
+def test_renumber_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(M, "RUN", 4)
+    files = spark.range(40).select(F.col("id").cast("int").alias("idx"), F.col("id").cast("string").alias("path"))
+    bridge = spark.createDataFrame([(i, "a") for i in range(0, 40, 3)], "idx int, tag string")
+    gone = files.where("idx % 7 = 3 or idx between 20 and 27").select("idx")
+    got_files, got_bridge = M.remove_and_renumber(files, bridge, gone)
+    left = [i for i in range(40) if not (i % 7 == 3 or 20 <= i <= 27)]
+    assert rows(got_files, "idx") == [(k, str(i)) for k, i in enumerate(left)]
+    assert [r[0] for r in rows(got_bridge, "idx")] == [left.index(i) for i in range(0, 40, 3) if i in left]
