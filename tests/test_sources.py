@@ -148,8 +148,8 @@ def test_builds_and_responses(spark, tmp_path):
     got = X.read_builds(spark, put(tmp_path / "b", "b.json", json.dumps([b, {**b, "id": 2, "product": "q", "cdn_path": "own"}]))).cache()
     assert got.count() == 2
     assert X.versions_table(got).count() == 14
-    cdns = X.cdns_table(got, "tpr", ["h1", "h2"], "cfg")
-    assert {r["Path"] for r in cdns.collect()} == {"tpr", "own"}
+    cdns = X.cdns_table(got, "base", ["h1", "h2"], "cfg")
+    assert {r["Path"] for r in cdns.collect()} == {"base", "own"}
     assert [r["priority"] for r in X.server_table(cdns.where("product = 'p'"), "us").orderBy("priority").collect()] == [10, 20]
     assert [r["Product"] for r in X.summary_table(got, 3).collect()] == ["p", "q"]
     with pytest.raises(Exception, match="bad build record"):
