@@ -195,13 +195,15 @@ def score(docs: DataFrame, chain: Chain, target: str = "toxic", threshold: float
     model = spark.sparkContext.broadcast(chain)
     names = [f"p_{n}" for n in chain.names]
     kept = [c for c in docs.columns if c not in {*names, "rejected"}]
-    src = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
-    at = chain.names.index(target)
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
+    at, text = chain.names.index(target), kept.index("text")
 
     def run(batches):
         m = model.value
         wanted = m.wanted()
-        for b in blocks(batches, 0, BLOCK):
+        # the text travels once, within its row
+        pairs = (pa.RecordBatch.from_arrays([b.column(0).field(text), b.column(0)], names=["text", "__row"]) for b in batches)
+        for b in blocks(pairs, 0, BLOCK):
             x = features(*text_bytes(b.column(0)), m.bits, wanted)
             p = m.predict(x)
             rejected = (p[:, at] >= threshold) & (np.diff(x.off) > 0)
