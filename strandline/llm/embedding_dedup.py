@@ -3,10 +3,11 @@
 Vectors equal in every component collapse to one first. The rest go to coarse inverted lists by label; a
 list's members keep the code of their residual in each subspace and the length of what the code misses.
 Every vector is also a query: it probes each list whose boundary (the hyperplane between that list's centre
-and its own) is near enough for a linked vector to lie behind it, gets table-lookup distances to the members'
-codes, drops members that the triangle inequality rules out, and takes the exact cosine of the others in
-double precision. Links are counted for each vector, and a block of links leaves as a spanning star of each of its
-components, never as all pairs.
+and its own) is no further than half a link's length, gets table-lookup distances to the members' codes, drops
+members that the triangle inequality rules out, and takes the exact cosine of the others in double precision.
+Linked vectors on two sides of a boundary have distances to it that add up to a link's length at most, so one
+of them probes the other's list whatever the vectors' distribution. A link counts for both ends, once if both
+probe. A block of links leaves as a spanning star of each of its components, never as all pairs.
 
 A list with many members or queries is split in blocks of ``BLOCK`` on both sides; no group of vectors is
 gathered whole. The index is fitted on at most ``SAMPLE_BYTES`` of vectors, those with the smallest hash.
@@ -29,8 +30,6 @@ from strandline.llm.stream import groups
 from strandline.llm.work import Scratch, components
 
 SAMPLE_BYTES, MAX_LISTS, BLOCK, CODEBOOK, SUB_DIM = 16 << 20, 4096, 2048, 64, 8
-#: A list is probed if a linked vector can lie behind its boundary when the step to it is this many times longer along that direction than a random step's.
-PROBE_SIGMA = 5.0
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -70,11 +69,10 @@ class Index:
         return own, codes, np.sqrt(((res - back) ** 2).sum(1))
 
     def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
-        """The lists that each vector probes, its own among them."""
-        reach = min(radius, PROBE_SIGMA * radius / np.sqrt(self.dim))
+        """The lists that each vector probes, its own among them: of two within ``radius``, one probes the other's."""
         d2 = (x * x).sum(1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(1)
         gap = self.gap[own] if self.gap is not None else np.sqrt(np.maximum(0, ((self.centres**2).sum(1)[own, None] - 2 * self.centres[own] @ self.centres.T + (self.centres**2).sum(1))))
-        near = d2 - d2[np.arange(len(x)), own][:, None] <= 2 * gap * reach
+        near = d2 - d2[np.arange(len(x)), own][:, None] <= gap * radius + 1e-12
         near[np.arange(len(x)), own] = True
         return [np.flatnonzero(r) for r in near]
 
@@ -118,7 +116,7 @@ def _unit(table: pa.Table, name: str = "vec") -> np.ndarray:
     return x
 
 
-_PLACED = pa.schema([("label", pa.int64()), ("dim", pa.int64()), ("list", pa.int64()), ("role", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("miss", pa.float64()), ("vec", pa.binary())])
+_PLACED = pa.schema([("label", pa.int64()), ("dim", pa.int64()), ("list", pa.int64()), ("role", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("miss", pa.float64()), ("home", pa.int64()), ("probed", pa.binary()), ("vec", pa.binary())])
 _FOUND = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n_links", pa.int64())])
 
 
@@ -160,12 +158,14 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
                 lists = np.concatenate([own, *probes]).astype(np.int64)
                 role = np.concatenate([np.zeros(n, np.int64), np.ones(len(at), np.int64)])
                 coded = [c.tobytes() for c in codes] if codes is not None else [b""] * n
+                probed = [p.astype(np.int32).tobytes() for p in probes]
+                is_member = (role == 0).tolist()
                 yield from pa.Table.from_arrays(
-                    [rows["label"], rows["dim"], pa.array(lists), pa.array(role), rows["rep"], rows["n"], pa.array([coded[i] if r == 0 else None for i, r in zip(take.tolist(), role.tolist(), strict=True)], pa.binary()), pa.array(miss[take]), rows["vec"]],
+                    [rows["label"], rows["dim"], pa.array(lists), pa.array(role), rows["rep"], rows["n"], pa.array([coded[i] if k else None for i, k in zip(take.tolist(), is_member, strict=True)], pa.binary()), pa.array(miss[take]), pa.array(own[take].astype(np.int64)), pa.array([probed[i] if k else None for i, k in zip(take.tolist(), is_member, strict=True)], pa.binary()), rows["vec"]],
                     schema=_PLACED,
                 ).combine_chunks().to_batches()
 
-    placed = scratch.save(reps.select("label", "dim", "rep", "n", "vec").mapInArrow(place, "label long, dim long, list long, role long, rep long, n long, codes binary, miss double, vec binary"), "placed")
+    placed = scratch.save(reps.select("label", "dim", "rep", "n", "vec").mapInArrow(place, "label long, dim long, list long, role long, rep long, n long, codes binary, miss double, home long, probed binary, vec binary"), "placed")
     cell = ("label", "dim", "list")
     load = placed.groupBy(*cell).agg(F.count_if(F.col("role") == 0).alias("m"), F.count_if(F.col("role") == 1).alias("q")).where("m > 0")
     load = load.select(*cell, F.ceil(F.col("m") / BLOCK).alias("bm"), F.ceil(F.col("q") / BLOCK).alias("bq"))
@@ -174,7 +174,7 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("role") == 0, F.col("bq")).otherwise(F.col("bm")) - 1))
     dealt = dealt.withColumn("own", own_block).withColumn("other", other)
     dealt = dealt.withColumn("cell", F.xxhash64(*cell, F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own"))))
-    dealt = dealt.select("cell", "label", "dim", "list", "role", "rep", "n", "codes", "miss", "vec").repartition("cell").sortWithinPartitions("cell", "label", "dim", "list", "role", "rep")
+    dealt = dealt.select("cell", "label", "dim", "list", "role", "rep", "n", "codes", "miss", "home", "probed", "vec").repartition("cell").sortWithinPartitions("cell", "label", "dim", "list", "role", "rep")
 
     def compare(batches):
         ix = index.value
@@ -188,7 +188,7 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
             coded = m["codes"][0].as_py()
             codes = np.stack([np.frombuffer(c, np.uint8) for c in m["codes"].to_pylist()]) if coded else None
             miss = m["miss"].to_numpy()
-            qx, qid = _unit(q), q["rep"].to_numpy()
+            qx, qid, qn, home = _unit(q), q["rep"].to_numpy(), q["n"].to_numpy(), q["home"].to_numpy()
             qlen = np.sqrt((qx * qx).sum(1))
             lst = g["list"][0].as_py()
             linked = np.zeros((len(qid), len(mid)), bool)
@@ -205,6 +205,11 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
                     linked[u[ok], v[ok]] = True
             linked &= qid[:, None] != mid[None]
             count = linked @ mn
+            # a member that doesn't probe the query's list meets it only here
+            back = np.zeros(len(mid), np.int64)
+            for j in np.flatnonzero(linked[home != lst].any(0)).tolist():
+                at = np.flatnonzero(linked[:, j])
+                back[j] = qn[at[~np.isin(home[at], np.frombuffer(m["probed"][j].as_py(), np.int32))]].sum()
             rq, rm = qid.copy(), mid.copy()
             while linked.any():
                 big = np.iinfo(np.int64).max
@@ -214,8 +219,8 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
                     break
                 rq, rm = nq, nm
             keep = linked.any(1)
-            keep_m = linked.any(0) & (rm != mid)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([qid[keep], mid[keep_m]])), pa.array(np.concatenate([rq[keep], rm[keep_m]])), pa.array(np.concatenate([count[keep], np.zeros(keep_m.sum(), np.int64)]))], schema=_FOUND)
+            keep_m = linked.any(0) & ((rm != mid) | (back > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([qid[keep], mid[keep_m]])), pa.array(np.concatenate([rq[keep], rm[keep_m]])), pa.array(np.concatenate([count[keep], back[keep_m]]))], schema=_FOUND)
 
     found = scratch.save(dealt.mapInArrow(compare, "node long, root long, n_links long"), "found")
     links = found.groupBy("node").agg(F.sum("n_links").alias("links"))

@@ -91,6 +91,23 @@ def test_embeddings_odd(spark):
     assert {r["n_links"] for r in same.collect()} == {0}
 
 
+def test_embeddings_low_rank(spark):
+    """Vectors of 768 components that vary in 12 directions only, in pairs that straddle list boundaries."""
+    r = np.random.default_rng(11)
+    basis = np.linalg.qr(r.normal(size=(768, 12)))[0].T
+    base = r.normal(size=(1200, 12))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    step = r.normal(size=base.shape)
+    step *= 0.17 / np.linalg.norm(step, axis=1)[:, None]
+    x = np.concatenate([base, base + step]) @ basis
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link(df).collect()}
+    assert want.sum() > 2000
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_token_ledger(spark, odd, tmp_path):
     docs = spark.createDataFrame(odd, DOCS)
     ledger = token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger", {"words": None})
