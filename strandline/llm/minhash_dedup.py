@@ -3,13 +3,15 @@
 Each distinct shingle set gets two collections of ``m`` half keys, each half key made from ``rows`` minhashes.
 A table's key joins one half key of each collection, so ``m * m`` tables cost ``2 * m * rows`` minhashes. In a
 table's bucket, everyone is paired with one member drawn by hash (another one in each table); pairs whose
-minhashes agree too seldom for the threshold are dropped. The components of what is left are families of texts
-that may link. A family's full sets meet once, in blocks of bounded size if it is large, and all its pairs
+minhashes agree too seldom for the threshold are dropped. Members whose pair is dropped then meet all others of
+their bucket, in blocks of bounded size, so that in the end each two members of a bucket either agree too seldom
+or are in one family. The components of what is left are families of texts that may link. A family's full sets meet once, in blocks of bounded size if it is large, and all its pairs
 are tried exactly, but for those that some size or count already excludes or that are linked already. Blocks
 send spanning edges, not pairs.
 
-Buckets and families may be of any size: a bucket's pairs grow with its members, not with their square, and
-a family of many blocks is spread over tasks block by block.
+Buckets and families may be of any size: a bucket of like members has as many pairs as members, and only
+those unlike the drawn one are compared with all; a bucket or family of many blocks is spread over tasks block
+by block.
 
 Edge cases: null and empty texts, and texts without words, have an empty set, link with nothing and are
 kept; a null id is never linked, has a null component and is kept; rows that repeat an id share its
@@ -30,6 +32,8 @@ from strandline.llm.work import Scratch, components
 WORDS, COLLECTION, ROWS, BLOCK = 5, 8, 3, 2 << 20
 #: Shingles of a block of a family; a family with more is compared block by block.
 FAMILY_BLOCK = 400_000
+#: Members of a block of a bucket, on both sides.
+BUCKET_BLOCK = 2048
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
 _RNG = np.random.default_rng(20_240_101)
@@ -104,20 +108,74 @@ def _families(sig: DataFrame, scratch: Scratch, threshold: float, m: int, rows:
     keys = half.select(F.xxhash64("a", "b", "i", "j").alias("key"), "doc_id")
     lead = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("lead")).where("n > 1").select("key", "lead")
     # both sides grow with the corpus: never a broadcast, whatever a small table would allow
-    pairs = keys.join(lead.hint("merge"), "key").where("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+    ends = (F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
+    members = scratch.save(keys.join(lead.hint("merge"), "key").select("key", "doc_id", "lead", *ends), "members")
+    pairs = members.where("doc_id <> lead").select("a", "b").distinct()
     sketch = sig.select("doc_id", "sketch")
     both = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ok", pa.bool_())])
 
     def agree(batches):
         for t in batches:
             if t.num_rows:
                 x = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, k)
                 y = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(-1, k)
-                ok = pa.array((x == y).sum(1) >= least)
-                yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], schema=schema)
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array((x == y).sum(1) >= least)], schema=schema)
+
+    met = scratch.save(both.mapInArrow(agree, "a long, b long, ok boolean"), "met")
+    apart = members.join(met.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key", "doc_id")
+    apart = scratch.save(apart.withColumn("apart", F.lit(True)), "apart")
+    edges = met.where("ok").select("a", "b").union(_apart_links(members, apart, sketch, k, least))
+    family = components(edges, scratch)
+    for done in (members, met, apart):
+        scratch.drop(done)
+    return family
+
+
+def _apart_links(members: DataFrame, apart: DataFrame, sketch: DataFrame, k: int, least: int) -> DataFrame:
+    """(a, b): links that span what ``apart(key, doc_id, apart)`` and the other members of their buckets agree on."""
+    load = apart.groupBy("key").agg(F.count("*").alias("q"))
+    rows = members.select("key", "doc_id").join(load, "key").join(apart, ["key", "doc_id"], "left").join(sketch, "doc_id")
+    size = members.join(load, "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / BUCKET_BLOCK).alias("bm"))
+    rows = rows.join(size, "key").select("key", "doc_id", "sketch", F.coalesce("apart", F.lit(False)).alias("apart"), "bm", F.ceil(F.col("q") / BUCKET_BLOCK).alias("bq"))
+    # a bucket of one block is its own other side; in a larger one, members apart go to a side of their own, too
+    sides = F.when(F.col("apart") & (F.col("bm") > 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("side", F.explode(sides))
+    mine, theirs = (F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y)) for x, y in (("bm", "bq"), ("bq", "bm")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1)))
+    at = [F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y)) for x, y in (("own", "other"), ("other", "own"))]
+    ask = (F.col("side") == 1) | (F.col("apart") & (F.col("bm") == 1))
+    rows = rows.select(F.xxhash64("key", *at).alias("cell"), "key", F.col("side").cast("long").alias("side"), "doc_id", ask.alias("ask"), "sketch")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "key", "side", "doc_id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    big = np.iinfo(np.int64).max
 
-    return components(both.mapInArrow(agree, "a long, b long"), scratch)
+    def compare(batches):
+        for g in groups(batches, 2):
+            x = np.frombuffer(b"".join(g["sketch"].to_pylist()), np.uint8).reshape(-1, k)
+            ids, ask, side = g["doc_id"].to_numpy(), g["ask"].to_numpy(), g["side"].to_numpy()
+            mid, y = ids[side == 0], np.ascontiguousarray(x[side == 0].T)
+            qid, x = ids[ask], x[ask]
+            linked = np.zeros((len(qid), len(mid)), bool)
+            for i in range(0, len(qid), 256):
+                n = np.zeros((len(x[i : i + 256]), len(mid)), np.uint8)
+                for c in range(k):
+                    n += x[i : i + 256, c, None] == y[c]
+                linked[i : i + 256] = n >= least
+            linked &= qid[:, None] != mid
+            if not linked.any():
+                continue
+            rq, rm = qid.copy(), mid.copy()
+            while True:
+                nq = np.minimum(rq, np.where(linked, rm, big).min(1))
+                nm = np.minimum(rm, np.where(linked, nq[:, None], big).min(0))
+                if (nq == rq).all() and (nm == rm).all():
+                    break
+                rq, rm = nq, nm
+            a, b = np.concatenate([qid, mid]), np.concatenate([rq, rm])
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], schema=schema)
+
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 class _Union:

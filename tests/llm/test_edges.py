@@ -271,6 +271,22 @@ def test_minhash_odd(spark, odd, docs, block, monkeypatch):
     assert minhash_dedup.classes(docs.where("false"), 85).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 500])
+def test_minhash_unlike_bucket(spark, block, monkeypatch):
+    """Planted pairs in one bucket of thousands of unlike documents."""
+    monkeypatch.setattr(minhash_dedup, "BUCKET_BLOCK", block, raising=False)
+    r = np.random.default_rng(8)
+    sketch = r.integers(0, 256, (3000, 48), np.uint8)
+    pairs = [(i, 1500 + 7 * i) for i in range(0, 200, 5)]
+    for a, b in pairs:
+        sketch[b] = sketch[a]
+        sketch[b, r.choice(48, 10, replace=False)] = r.integers(0, 256, 10)
+    rows = [(i, [1, *(10_000 * j + i for j in range(1, 8))], [2, *(10_000 * j + i for j in range(1, 8))], bytearray(s.tobytes())) for i, s in enumerate(sketch)]
+    sig = spark.createDataFrame(rows, "doc_id long, left array<long>, right array<long>, sketch binary")
+    got = {x["node"]: x["component"] for x in minhash_dedup._families(sig, work.Scratch(spark, "t"), 0.85, 8, 3).collect()}
+    assert got == {x: a for a, b in pairs for x in (a, b)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(4)
