@@ -237,6 +237,22 @@ def test_html_odd(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_marks_by_parser(spark):
+    story = "<div><p>The story stands in plain blocks and is much longer than any card</p></div>"
+    pages = [
+        (1, "http://a/1", f"<!-- <article> -->{story}"),
+        (2, "http://b/1", f"<script>var t = '<article>';</script>{story}"),
+        (3, "http://c/1", f"<div data-role=\"main\"></div>{story}"),
+        (4, "http://d/1", f"<div role=maintenance>{story}</div>"),
+        (5, "http://e/1", f"{story}<article class='comment'><p>me too</p></article>"),
+        (6, "http://f/1", f"<article><p>Teaser</p></article>{story}<article><p>Other</p></article>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    text = "The story stands in plain blocks and is much longer than any card"
+    assert got == dict.fromkeys(range(1, 6), text) | {6: f"Teaser\n{text}\nOther"}
+
+
 def test_lcs_against_table():
     r = random.Random(5)
     for _ in range(200):
