@@ -253,6 +253,34 @@ def test_html_marks_by_parser(spark):
     assert got == dict.fromkeys(range(1, 6), text) | {6: f"Teaser\n{text}\nOther"}
 
 
+def test_html_neighbours(spark):
+    """Copies are passed over, long templates are not taken for copies, and ranges' edges hide no neighbour."""
+    menu = [f"Menu entry {i}" for i in range(10)]
+    pages, want = [], {}
+
+    def add(url, shared, own):
+        want[len(pages)] = "\n".join(own)
+        pages.append((len(pages), url, "".join(f"<p>{t}</p>" for t in shared + own)))
+
+    for i in range(12):  # three copies and more of each article in turn
+        add(f"http://copies/{i:03}", menu, [f"Story {i // 4} line {k}" for k in range(50)] + [f"Printed {i}"] * (i % 4 == 1))
+    heavy = [f"Template line {k}" for k in range(40)]
+    for i in range(6):
+        add(f"http://heavy/{i:03}", heavy, [f"Own {i} line {k}" for k in range(8)])
+    for i in range(30):
+        add(f"http://pair{i}/a", menu, [f"First {i} line {k}" for k in range(5)])
+        add(f"http://pair{i}/b", menu, [f"Second {i} line {k}" for k in range(5)])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    for spread in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", spread)
+        try:
+            got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        assert got == want
+
+
 def test_lcs_against_table():
     r = random.Random(5)
     for _ in range(200):
