@@ -401,6 +401,19 @@ def lsm_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.log_view(base, log, ["k"])
 
 
+@query("""
+WITH log AS (SELECT l_orderkey AS k, (l_linenumber * 1000000 + l_partkey) * 2 + CAST(l_linestatus = 'F' AS INT) AS seq, CASE WHEN l_linestatus = 'F' AND l_linenumber % 2 = 0 THEN 'Delete' ELSE 'Normal' END AS status, CAST(l_partkey AS BIGINT) AS v FROM lineitem),
+u AS (SELECT o_orderkey AS k, -1 AS seq, 'Normal' AS status, CAST(o_custkey AS BIGINT) AS v FROM orders UNION ALL SELECT * FROM log)
+SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM u) WHERE r = 1 AND status <> 'Delete'
+""")
+def lsm_view_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-06, JN-18 over the whole table."""
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("long").alias("v"))
+    dead = (F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 2 == 0)
+    log = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 2 + (F.col("l_linestatus") == "F").cast("int")).alias("seq"), F.when(dead, "Delete").otherwise("Normal").alias("status"), F.col("l_partkey").cast("long").alias("v"))
+    return M.log_view(base, log, ["k"])
+
+
 @query("SELECT o_custkey, o_orderkey, o_orderkey - lag(o_orderkey, 1, -1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS delta, o_orderkey AS back FROM orders")
 def delta_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-14, WIN-15: deltas, and the ids decoded from them."""

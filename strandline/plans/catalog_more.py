@@ -97,6 +97,15 @@ def range_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("user_id").agg(R.header_value(F.array_sort(F.collect_list("r"))).alias("header"))
 
 
+@query("""
+SELECT user_id, 'bytes=' || string_agg(s || '-' || e, ', ' ORDER BY s, e) AS header FROM (SELECT user_id, event_id * 10 AS s, event_id * 10 + 5 AS e FROM events) GROUP BY user_id
+""")
+def range_header_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-29 over the whole table."""
+    r = table(spark, sf_dir, "events").select("user_id", F.struct((F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + 5).alias("end")).alias("r"))
+    return r.groupBy("user_id").agg(R.header_value(F.array_sort(F.collect_list("r"))).alias("header"))
+
+
 @query("""
 SELECT o_orderkey, CAST(k AS BIGINT) AS packed, CAST(o_orderkey % 1000 AS INT) AS archive, CAST(o_custkey AS BIGINT) AS off FROM (SELECT *, (o_orderkey % 1000) * 4294967296 + o_custkey AS k FROM orders)
 """)
@@ -179,6 +188,15 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.where("l_partkey < 50").select(*cols).exceptAll(li.where("l_suppkey % 2 = 0").select(*cols)).distinct().join(li.where("l_suppkey % 2 = 0").select(*cols).distinct(), list(cols), "left_anti")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_suppkey % 2 = 0")
+def set_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-04, 05, 26 over the whole table."""
+    li = table(spark, sf_dir, "lineitem")
+    cols = ("l_orderkey", "l_linenumber", "l_partkey")
+    even = li.where("l_suppkey % 2 = 0").select(*cols)
+    return li.select(*cols).exceptAll(even).distinct().join(even.distinct(), list(cols), "left_anti")
+
+
 @query("SELECT user_id, event_id, max(v) OVER w AS peak, avg(v) OVER w AS mean FROM (SELECT *, CAST(floor(value * 1000) AS BIGINT) AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-03."""

@@ -23,6 +23,13 @@ def resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.resolve_all(li, table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_partkey"])
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS p_partkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
+def resolve_all_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-25..27 over the whole table."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    return J.resolve_all(li, table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_partkey"])
+
+
 @query("SELECT n_nationkey, upper(n_name) AS key_id, r_name AS key_value FROM nation LEFT JOIN (SELECT min(n_regionkey) AS k, lower(n_name) AS id FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 2) ON lower(n_name) = id LEFT JOIN region ON k = r_regionkey")
 def key_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-37: keys by id without regard to case."""

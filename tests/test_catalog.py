@@ -31,6 +31,19 @@ def test_query(spark, con, sf_dir, name):
     assert got == want
 
 
+def test_whole_tables(spark, con, sf_dir):
+    """The queries with a bound have one without, which reads every row."""
+    def n(sql):
+        return con.execute(sql).fetchone()[0]
+
+    whole = {k: QUERIES[f"{k}_whole"](spark, sf_dir) for k in ("resolve_all", "range_header", "set_difference", "lsm_view")}
+    assert whole["resolve_all"].count() == n("select count(*) from lineitem")
+    parts = whole["range_header"].selectExpr("sum(size(split(header, ', ')))").first()[0]
+    assert parts == n("select count(*) from events")
+    assert whole["set_difference"].where("l_partkey >= 50").count() > 0
+    assert whole["lsm_view"].where("k % 3 <> 0").join(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as k", "cast(o_custkey as bigint) as v"), ["k", "v"], "left_anti").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
