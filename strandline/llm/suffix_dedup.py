@@ -1,4 +1,4 @@
-"""Repeated passages by longest-previous-factor arrays over routed suffixes.
+"""Repeated passages by the equality of fixed-length windows, routed by minimizers.
 
 Each 200-byte window of a document is routed by its minimizer, the smallest hash among its ``k``-byte
 substrings, so equal windows meet wherever they are. Neighbouring windows with one minimizer travel as one
@@ -7,8 +7,9 @@ stretch of text, and equal stretches are one *type*:
 1. minimizers that occur once in the corpus are dropped, and with them most of the text;
 2. a type that occurs twice repeats in all its windows;
 3. types that share a minimizer without being equal bring their text to one place. There the windows are
-   sorted in suffix order, and the previous and next smaller text positions give each window's longest
-   previous factor: the earlier match, if it is as long as a window;
+   ranked by their whole content (prefix doubling) and sorted by rank and position: a window repeats if the
+   entry beside it has its rank. No factor lengths, common prefixes or next smaller positions are computed:
+   whether a window has an equal one is all that the removal needs;
 4. a minimizer with more than ``HOT`` types (a line that a third of all documents share) is not gathered,
    so a place holds ``HOT`` stretches of less than two windows each at most, which is 1.4 MB: the rest is
    routed again by a longer ``k``, up to whole windows, of which each is one type.
