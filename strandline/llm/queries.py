@@ -37,11 +37,21 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A load of all documents, committed and committed again: the second time changes nothing."""
+    """The totals of all documents, after a load of drafts, a revision of each row, and a delete and new insert of a part.
+
+    The load is committed twice; the second time changes nothing.
+    """
     docs = _table(spark, sf_dir, "documents").select("source", "lang", "text")
+    half = F.expr("substring(text, 1, length(text) div 2)")
+    drafts = docs.withColumn("text", half)
+    change = docs.select("source", "lang", "text", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), half.alias("old_text"))
+    part = docs.where(F.crc32("text") % 4 == 0)
     ledger = token_counts.TokenLedger(spark, Scratch(spark, "tokens").root, {"words": None, TOKENIZER.split(".")[0]: public_tokenizers.path(TOKENIZER)})
-    ledger.commit("load", token_counts.signed(inserts=docs))
-    ledger.commit("load", token_counts.signed(inserts=docs))
+    ledger.commit("load", token_counts.signed(inserts=drafts))
+    ledger.commit("load", token_counts.signed(inserts=drafts))
+    ledger.commit("revise", token_counts.signed(revised=change))
+    ledger.commit("delete", token_counts.signed(deletes=part))
+    ledger.commit("insert", token_counts.signed(inserts=part))
     return ledger.rollup()
 
 

@@ -133,6 +133,29 @@ def test_token_ledger(spark, odd, tmp_path):
     assert undo.columns == ["source", "lang", "text", "sign"]
 
 
+def test_token_query_runs_signed_deltas(spark, sf_dir, monkeypatch):
+    """The registered query revises every row and deletes some, and ends with the plain totals."""
+    from strandline.llm import queries
+
+    signs, ledgers = {}, []
+    commit = token_counts.TokenLedger.commit
+
+    def watched(self, batch_id, rows):
+        ledgers.append(self)
+        signs.setdefault(batch_id, {r["sign"]: r["count"] for r in rows.groupBy("sign").count().collect()})
+        return commit(self, batch_id, rows)
+
+    monkeypatch.setattr(token_counts.TokenLedger, "commit", watched)
+    got = queries.op3_token_counts(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = docs.count()
+    assert {-1: n, 1: n} in signs.values()
+    assert any(set(s) == {-1} and 0 < s[-1] < n for s in signs.values())
+    plain = token_counts.TokenLedger(spark, work.Scratch(spark, "t").root, ledgers[0].tokenizers)
+    commit(plain, "load", token_counts.signed(inserts=docs.select("source", "lang", "text")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.rollup().collect()), key=str)
+
+
 def digests(spark, rows, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removal_digest(df, **options).collect()}
