@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.hashing import LOWER, SpanHash, blocks, text_bytes, words
+from strandline.llm.work import lean, small_batches
 
 WINDOW, SHARD_BYTES, SAMPLE, BLOCK_BYTES = 13, 4 << 20, 16, 16 << 20
 _WORD = np.zeros(256, bool)
@@ -234,6 +235,7 @@ def merge_spans(old: list, new: list) -> list[tuple]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (of words and of UTF-8 bytes, merged) and ``items`` (sorted ids that occur)."""
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // block_bytes))
@@ -244,6 +246,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         part = bench.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k).orderBy("id", "text").toArrow()
         phrases = spark.sparkContext.broadcast(Phrases(part["id"].to_pylist(), part["text"].combine_chunks() if part.num_rows else pa.array([], pa.string()), window))
 
+        @lean
         def run(batches, phrases=phrases):
             p = phrases.value
             for b in blocks(batches, 1, shard_bytes):
@@ -271,6 +274,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     row = found.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != "text"]).alias("__row"), "text", "n_words", "spans")
     out = T.StructType([row.schema["__row"], T.StructField("text", T.StringType())])
 
+    @lean
     def run(batches):
         for b in batches:
             texts, keep = b.column(1).to_pylist(), np.ones(b.num_rows, bool)

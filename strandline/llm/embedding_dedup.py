@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.stream import groups
-from strandline.llm.work import Scratch, components
+from strandline.llm.work import Scratch, components, lean
 
 SAMPLE_BYTES, MAX_LISTS, BLOCK, CODEBOOK, SUB_DIM = 16 << 20, 4096, 2048, 64, 8
 
@@ -93,6 +93,7 @@ _VEC = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("dim", pa.int6
 def _vectors(df: DataFrame) -> DataFrame:
     """(vec_id, label, dim, vec): the components as doubles, null if the vector can't link."""
 
+    @lean
     def run(batches):
         for b in batches:
             out, dims = [], []
@@ -136,6 +137,7 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     index = spark.sparkContext.broadcast(Index(x, int(max(1, min(MAX_LISTS, len(x) // 4, np.sqrt(total))))))
     radius = float(np.sqrt(2 - 2 * threshold)) + 1e-6
 
+    @lean
     def place(batches):
         ix = index.value
         for b in batches:
@@ -176,6 +178,7 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     dealt = dealt.withColumn("cell", F.xxhash64(*cell, F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own"))))
     dealt = dealt.select("cell", "label", "dim", "list", "role", "rep", "n", "codes", "miss", "home", "probed", "vec").repartition("cell").sortWithinPartitions("cell", "label", "dim", "list", "role", "rep")
 
+    @lean
     def compare(batches):
         ix = index.value
         for g in groups(batches, 4):

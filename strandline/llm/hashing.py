@@ -27,13 +27,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n at least, kept between calls while small."""
+    """BASE**i and BASE**-i for i < n at least; up to a megabyte of text they are kept between calls."""
     if _POW["n"] < n:
         m = max(n, 1 << 16)
         p, i = np.full(m, BASE, _U), np.full(m, INV, _U)
         p[0] = i[0] = 1
         p, i = np.cumprod(p, dtype=_U), np.cumprod(i, dtype=_U)
-        if m > 1 << 23:
+        if m > (1 << 20) + 64:
             return p, i
         _POW.update(n=m, p=p, i=i)
     return _POW["p"], _POW["i"]

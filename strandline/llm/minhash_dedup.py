@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from strandline.llm.hashing import LOWER, SpanHash, blocks, mix, text_bytes, words
 from strandline.llm.stream import groups
-from strandline.llm.work import Scratch, components
+from strandline.llm.work import Scratch, components, lean
 
-WORDS, COLLECTION, ROWS, BLOCK = 5, 8, 3, 2 << 20
+WORDS, COLLECTION, ROWS, BLOCK = 5, 8, 3, 1 << 20
 #: Shingles of a block of a family; a family with more is compared block by block.
 FAMILY_BLOCK = 400_000
 #: Members of a block of a bucket, on both sides.
@@ -75,6 +75,7 @@ _SIG_SQL = "doc_id long, n_shingles long, set1 long, set2 long, left array<long>
 def signatures(docs: DataFrame, n_words: int, m: int, rows: int) -> DataFrame:
     """One row for each document: size and hash of its set, half keys of both collections, one byte of each minhash."""
 
+    @lean
     def run(batches):
         for b in blocks(batches, 1, BLOCK):
             v, bounds = shingle_sets(*text_bytes(b.column(1)), n_words)
@@ -115,6 +116,7 @@ def _families(sig: DataFrame, scratch: Scratch, threshold: float, m: int, rows:
     both = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ok", pa.bool_())])
 
+    @lean
     def agree(batches):
         for t in batches:
             if t.num_rows:
@@ -150,6 +152,7 @@ def _apart_links(members: DataFrame, apart: DataFrame, sketch: DataFrame, k: int
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     big = np.iinfo(np.int64).max
 
+    @lean
     def compare(batches):
         for g in groups(batches, 2):
             x = np.frombuffer(b"".join(g["sketch"].to_pylist()), np.uint8).reshape(-1, k)
@@ -256,6 +259,7 @@ def classes(docs: DataFrame, percent: int = 80, n_words: int = WORDS, m: int = C
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(meets.hint("merge"), "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("groups", pa.list_(pa.struct([("meet", pa.int64()), ("component", pa.int64()), ("block", pa.int64())]))), ("shingles", pa.binary())])
 
+    @lean
     def reshingle(batches):
         for b in blocks(batches, 1, BLOCK):
             v, bounds = shingle_sets(*text_bytes(b.column(1)), n_words)
@@ -266,6 +270,7 @@ def classes(docs: DataFrame, percent: int = 80, n_words: int = WORDS, m: int = C
     sets = sets.repartition("meet").sortWithinPartitions("meet", "component", "doc_id")
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @lean
     def verify(batches):
         for g in groups(batches, 2):
             ids, sets_, side = [], [], []

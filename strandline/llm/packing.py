@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.work import Scratch
+from strandline.llm.work import Scratch, lean
 
 # Fixed value: how this kind of vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -169,6 +169,7 @@ def pack_documents(
     scratch = Scratch(spark, "packing")
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @lean
     def first(batches):
         from pyspark import TaskContext
 
@@ -197,6 +198,7 @@ def pack_documents(
     n_left = left.agg(F.countDistinct("sequence_id")).first()[0]
     groups = max(1, n_left // 4000)
 
+    @lean
     def merge(batches):
         from pyspark import TaskContext
 

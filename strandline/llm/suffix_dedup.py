@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from strandline.llm.hashing import SpanHash, blocks, text_bytes
 from strandline.llm.stream import gathered
-from strandline.llm.work import Scratch
+from strandline.llm.work import Scratch, lean
 
 LENGTH, CHUNK, HOT, SHARD = 200, 1 << 20, 4096, 1 << 20
 _POS_BITS = np.uint64(28)
@@ -146,6 +146,7 @@ class _Finder:
         src = docs.select(F.col(text).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.col(text).isNull().alias("__null")).alias("rows"))
         kind = src.schema["rows"].dataType
 
+        @lean
         def chunk(batches):
             from pyspark import TaskContext
 
@@ -166,6 +167,7 @@ class _Finder:
     def occurrences(self) -> DataFrame:
         length, k = self.length, self.ks[0]
 
+        @lean
         def run(batches):
             for b in batches:
                 for c, sizes, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -180,6 +182,7 @@ class _Finder:
         length = self.length
         asked = wanted.groupBy("chunk").agg(F.collect_list(F.struct("mh", "pos", "n", "c", "types")).alias("asked"))
 
+        @lean
         def run(batches):
             for b in batches:
                 for i in range(b.num_rows):
@@ -197,6 +200,7 @@ class _Finder:
         length, keep_first = self.length, self.keep_first
         ctx = ctx.select("mh", "chunk", "pos", "n", "text").repartition("mh").sortWithinPartitions("mh")
 
+        @lean
         def run(batches):
             for t in gathered(batches, 1, "text", SHARD):
                 n = t["n"].to_numpy().astype(np.int64)
@@ -218,6 +222,7 @@ class _Finder:
         """Stretches of hot minimizers, cut anew by longer substrings (step 4)."""
         length, k = self.length, self.ks[level]
 
+        @lean
         def run(batches):
             for b in batches:
                 if not b.num_rows:
@@ -314,6 +319,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     finder = _Finder(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", length, keep_first, Scratch(docs.sparkSession, "suffixes"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
+    @lean
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
@@ -334,6 +340,7 @@ def remove(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, text:
     finder = _Finder(docs, text, length, keep_first, Scratch(docs.sparkSession, "suffixes"))
     out = T.StructType([T.StructField("__row", finder.row_type), T.StructField("__text", T.StringType())])
 
+    @lean
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):

@@ -36,6 +36,7 @@ def _counts(docs: DataFrame, tokenizers: dict[str, str | None]) -> DataFrame:
     names = list(tokenizers)
     schema = pa.schema([("source", pa.string()), ("lang", pa.string()), ("sign", pa.int64()), ("n_chars", pa.int64()), *((f"t{i}", pa.int64()) for i in range(len(names)))])
 
+    @work.lean
     def run(batches):
         from strandline.llm.packing import BpeCounter
 

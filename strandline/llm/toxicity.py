@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from strandline.llm.hashing import LOWER, SpanHash, blocks, text_bytes, words
 from strandline.llm.linear import Rows, fit_sparse, sigmoid
+from strandline.llm.work import lean, small_batches
 
 #: Category name -> condition on a labelled row with columns ``quality`` and ``toxic``; the chain's order.
 CATEGORIES: dict[str, Callable[[], Column]] = {
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Callable[[],
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.list_(pa.int64())), ("idx", pa.binary())])
 
+    @lean
     def run(batches):
         for b in blocks(batches, 0, BLOCK):
             rows = features(*text_bytes(b.column(0)), bits)
@@ -192,12 +194,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Callable[[],
 def score(docs: DataFrame, chain: Chain, target: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``p_<category>`` for each category and ``rejected`` (p of ``target`` >= threshold)."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(chain)
     names = [f"p_{n}" for n in chain.names]
     kept = [c for c in docs.columns if c not in {*names, "rejected"}]
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
     at, text = chain.names.index(target), kept.index("text")
 
+    @lean
     def run(batches):
         m = model.value
         wanted = m.wanted()

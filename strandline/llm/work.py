@@ -6,12 +6,42 @@ share. The setting is read from the session and only set where it is unset (test
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to a Python worker at once, where the session leaves that open.
+BATCH_BYTES = 4 << 20
+
+
+def lean(run):
+    """For functions of ``mapInArrow``: at a partition's end the worker, which Spark keeps, gives its free memory back."""
+
+    @functools.wraps(run)
+    def trimmed(batches, *args, **options):
+        try:
+            yield from run(batches, *args, **options)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return trimmed
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that long texts do not come ten thousand at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) > 1 << 30:
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
 def work_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,6 +88,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{work_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
