@@ -2,16 +2,17 @@
 
 The chain predicts categories one after another: each model is a logistic regression whose inputs are the
 text's features and the probabilities that earlier models gave. In training, those probabilities are out of
-fold, so that a later model sees what it will see on new text. The models are fitted on the driver on at
-most ``max_train`` labelled rows (those with the smallest hash of their id); scoring reads whole texts on
-the executors.
+fold, so that a later model sees what it will see on new text. The out-of-fold scores also choose each model's
+regularisation and the threshold of the decision, in which every toxic category of the chain takes part. The
+models are fitted on the driver on at most ``max_train`` labelled ids (those with the smallest hash), one text
+each; scoring reads whole texts on the executors.
 
 Features: which lower-cased words occur, and which first four and five characters of longer words, hashed
-into ``2**bits`` slots. A model uses the ``MAX_FEATURES`` slots that speak for its category most (chi-squared)
-among those in ``MIN_TEXTS`` texts of it at least. Whether a word occurs does not fade with a text's length.
+into ``2**bits`` slots. A model uses the ``MAX_FEATURES`` slots that speak for its category most (chi-squared). Whether a word occurs does not fade with a text's length.
 
 Edge cases: null and empty texts have no features and are not rejected; ids may be null or repeat (each row
-is scored on its own); without labelled rows of both kinds a category's probability is 0; labels that are
+is scored on its own; of a labelled id's texts the smallest one is learned from, and of its marks the largest);
+without labelled rows of both kinds a category's probability is 0; labels that are
 null are not used. Extra columns are kept, those named like the results are replaced.
 """
 
@@ -35,7 +36,11 @@ CATEGORIES: dict[str, Callable[[], Column]] = {
     "toxic": lambda: F.col("toxic") == 1,
     "toxic_junk": lambda: (F.col("toxic") == 1) & (F.col("quality") == 0),
 }
-BITS, MAX_TRAIN, FOLDS, MAX_FEATURES, MIN_TEXTS, BLOCK = 20, 12_000, 4, 400, 3, 1 << 20
+#: The categories that reject a text.
+TARGETS = ("toxic", "toxic_junk")
+BITS, MAX_TRAIN, FOLDS, MAX_FEATURES, BLOCK = 20, 12_000, 4, 400, 1 << 20
+#: Strengths of regularisation to choose from, and bounds of the threshold.
+STRENGTHS, THRESHOLDS = (1e-5, 1e-4, 1e-3), (0.25, 0.75)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
@@ -66,10 +71,10 @@ def features(data: np.ndarray, off: np.ndarray, bits: int, wanted: np.ndarray |
 
 
 def _chi(a: np.ndarray, n_a: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """How much each slot speaks for a category: in ``a`` texts of it, of ``n_a`` in all. 0 if it speaks against, or is rare."""
+    """How much each slot speaks for a category: in ``a`` texts of it, of ``n_a`` in all. 0 if it speaks against."""
     b = n_a - a
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1, n_a * (n1 + n0 - n_a))
-    chi[(a < MIN_TEXTS) | (a * n0 <= b * n1)] = 0
+    chi[a * n0 <= b * n1] = 0
     return chi
 
 
@@ -114,8 +119,9 @@ def _narrow(x: Rows, slots: np.ndarray) -> Rows:
 class Chain:
     """Fitted models, in the chain's order."""
 
-    def __init__(self, names: list[str], bits: int):
-        self.names, self.bits, self.models = names, bits, []
+    def __init__(self, names: list[str], bits: int, targets: tuple[str, ...] = TARGETS):
+        self.names, self.bits, self.models, self.threshold = names, bits, [], 0.5
+        self.targets = [i for i, n in enumerate(names) if n in targets]
 
     def _one(self, x: Rows, extra: np.ndarray, y: np.ndarray, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         slots = _telling(x, y, 1 << self.bits)
@@ -128,22 +134,51 @@ class Chain:
         slots, w, v = model
         return sigmoid(_narrow(x, slots).dot(w) + extra @ v[:-1] + v[-1])
 
-    def fit(self, x: Rows, y: np.ndarray, fold: np.ndarray, l2: float = 1e-5) -> Chain:
+    def _held_out(self, x: Rows, extra: np.ndarray, y: np.ndarray, fold: np.ndarray, l2: float) -> np.ndarray:
+        """Probabilities of each row by a model that has not seen its fold."""
+        out = np.zeros(len(y))
+        for f in np.unique(fold):
+            a, b = fold != f, fold == f
+            if 0 < y[a].sum() < a.sum():
+                out[b] = self._apply(self._one(x.pick(a), extra[a], y[a], l2), x.pick(b), extra[b])
+            elif a.any():
+                out[b] = y[a].mean()
+        return out
+
+    def fit(self, x: Rows, y: np.ndarray, fold: np.ndarray, strengths: tuple[float, ...] = STRENGTHS) -> Chain:
         """``y``: a column of 0 and 1 for each category. ``fold``: each row's fold."""
         extra = np.zeros((len(fold), 0))
         for c in range(len(self.names)):
             t = y[:, c].astype(float)
-            oof = np.zeros(len(t))
+            best = np.zeros(len(t))
             if t.min(initial=1) == t.max(initial=0) or not len(t):
                 self.models.append(None)
             else:
-                for f in np.unique(fold) if c + 1 < len(self.names) else ():
-                    a, b = fold != f, fold == f
-                    oof[b] = self._apply(self._one(x.pick(a), extra[a], t[a], l2), x.pick(b), extra[b]) if 0 < t[a].sum() < a.sum() else t[a].mean() if a.any() else 0
-                self.models.append(self._one(x, extra, t, l2))
-            extra = np.hstack([extra, oof[:, None]])
+                loss, chosen = np.inf, strengths[0]
+                for l2 in strengths:
+                    p = self._held_out(x, extra, t, fold, l2)
+                    q = np.clip(np.where(t == 1, p, 1 - p), 1e-3, 1)
+                    if -np.log(q).mean() < loss:
+                        loss, chosen, best = -np.log(q).mean(), l2, p
+                self.models.append(self._one(x, extra, t, chosen))
+            extra = np.hstack([extra, best[:, None]])
+        self._decide(extra, y)
         return self
 
+    def _decide(self, held_out: np.ndarray, y: np.ndarray) -> None:
+        """The threshold with the best F1 out of fold; of equally good ones, the one nearest to a half."""
+        if not self.targets or not len(y):
+            return
+        s, t = held_out[:, self.targets].max(1), y[:, self.targets].max(1) == 1
+        grid = np.round(np.arange(THRESHOLDS[0], THRESHOLDS[1] + 0.005, 0.01), 2)
+        f1 = np.array([2 * (t & (s >= g)).sum() / max(1, t.sum() + (s >= g).sum()) for g in grid])
+        good = grid[f1 >= f1.max() - 1e-12]
+        self.threshold = float(good[np.argmin(np.abs(good - 0.5))])
+
+    def toxicity(self, p: np.ndarray) -> np.ndarray:
+        """The largest probability of a category that rejects."""
+        return p[:, self.targets].max(1) if self.targets else np.zeros(len(p))
+
     def wanted(self) -> np.ndarray:
         """Which slots some model uses."""
         used = np.zeros(1 << self.bits, bool)
@@ -162,13 +197,15 @@ class Chain:
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Callable[[], Column]] | None = None, max_train: int = MAX_TRAIN, bits: int = BITS) -> Chain:
     """A chain fitted on at most ``max_train`` labelled documents."""
+    small_batches(docs.sparkSession)
     categories = categories or CATEGORIES
     chain = Chain(list(categories), bits)
     marks = labels.where("doc_id is not null").select("doc_id", *[F.coalesce(c().cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())])
-    # the sample's size is a parameter, so it may be broadcast
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     names = [f"y{i}" for i in range(len(categories))]
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
+    # the sample's size is a parameter, so it may be broadcast; one text an id, however often it repeats
+    sample = marks.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    found = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = found.join(F.broadcast(sample), "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.list_(pa.int64())), ("idx", pa.binary())])
 
     @lean
@@ -191,15 +228,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Callable[[],
     return chain.fit(Rows(flat, np.ones(len(flat)), off), y, np.asarray([ids[i] for i in order]) % FOLDS)
 
 
-def score(docs: DataFrame, chain: Chain, target: str = "toxic", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``p_<category>`` for each category and ``rejected`` (p of ``target`` >= threshold)."""
+def score(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
+    """``docs`` with ``p_<category>`` for each category and ``rejected`` (a toxic one reaches the threshold, by default the chain's)."""
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(chain)
     names = [f"p_{n}" for n in chain.names]
     kept = [c for c in docs.columns if c not in {*names, "rejected"}]
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
-    at, text = chain.names.index(target), kept.index("text")
+    text, cut = kept.index("text"), chain.threshold if threshold is None else threshold
 
     @lean
     def run(batches):
@@ -210,7 +247,7 @@ def score(docs: DataFrame, chain: Chain, target: str = "toxic", threshold: float
         for b in blocks(pairs, 0, BLOCK):
             x = features(*text_bytes(b.column(0)), m.bits, wanted)
             p = m.predict(x)
-            rejected = (p[:, at] >= threshold) & (np.diff(x.off) > 0)
+            rejected = (m.toxicity(p) >= cut) & (np.diff(x.off) > 0)
             yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(rejected)], names=["__row", *names, "rejected"])
 
     out = T.StructType([src.schema["__row"], *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("rejected", T.BooleanType())])
