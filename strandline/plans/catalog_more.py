@@ -395,12 +395,17 @@ def lru_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.lru_batch(e, 8)
 
 
-@query()
+@query("""
+SELECT p_partkey, 'BlockTable' AS spec_kind, true AS compressed, path, CASE k WHEN 0 THEN 'BlockTable' WHEN 1 THEN CASE WHEN p_size % 3 = 1 THEN 'None' ELSE 'ZLib' END ELSE 'ZLib' END AS kind,
+  CASE WHEN k = 1 THEN CAST(p_size AS BIGINT) * 1024 END AS size, CASE WHEN k = 1 THEN CAST(1 AS BIGINT) END AS count, CASE WHEN k = 1 AND p_size % 3 = 2 THEN 9 END AS level,
+  CASE WHEN k = 1 AND p_size % 3 = 2 THEN 'mpq' END AS variant, CAST(NULL AS INTEGER) AS bits, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS iv
+FROM part, (VALUES (0, '0'), (1, '0.0'), (2, '0.1')) AS n(k, path)
+""")
 def spec_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-19..21, FLT-43..45: specs made from part names and sizes, parsed."""
     spec = F.concat(F.lit("b:{"), F.col("p_size").cast("string"), F.lit("K="), F.when(F.col("p_size") % 3 == 0, "z").when(F.col("p_size") % 3 == 1, "n").otherwise("z:{9,mpq}"), F.lit(",*=z}"))
     n = table(spark, sf_dir, "part").select("p_partkey", S.nodes_column(spec).alias("nodes"), S.kind(spec).alias("kind"))
-    return n.select("p_partkey", "kind", S.is_compressed(F.col("nodes")).alias("compressed"), F.explode("nodes").alias("node")).select("p_partkey", "kind", "compressed", "node.*")
+    return n.select("p_partkey", F.col("kind").alias("spec_kind"), S.is_compressed(F.col("nodes")).alias("compressed"), F.explode("nodes").alias("node")).select("p_partkey", "spec_kind", "compressed", "node.*")
 
 
 @query()

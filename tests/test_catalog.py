@@ -20,8 +20,9 @@ def con(sf_dir):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, con, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
+def test_query(spark, con, sf_dir, name, tmp_path):
+    QUERIES[name](spark, sf_dir).write.parquet(str(tmp_path / "out"))  # a result must be writable, too
+    df = spark.read.parquet(str(tmp_path / "out"))
     cols = sorted(df.columns)
     got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
     if name not in ORACLES:
