@@ -1,33 +1,37 @@
-"""Repeated passages by the equality of fixed-length windows, routed by minimizers.
+"""Repeated passages by longest-previous-factor arrays, over shards of text that minimizers bring together.
 
 Each 200-byte window of a document is routed by its minimizer, the smallest hash among its ``k``-byte
 substrings, so equal windows meet wherever they are. Neighbouring windows with one minimizer travel as one
 stretch of text, and equal stretches are one *type*:
 
 1. minimizers that occur once in the corpus are dropped, and with them most of the text;
-2. a type that occurs twice repeats in all its windows;
-3. types that share a minimizer without being equal bring their text to one place. There the windows are
-   ranked by their whole content (prefix doubling) and sorted by rank and position: a window repeats if the
-   entry beside it has its rank. No factor lengths, common prefixes or next smaller positions are computed:
-   whether a window has an equal one is all that the removal needs;
+2. a type that occurs twice (by two 64-bit hashes, of the minimizer and of the whole stretch) repeats in all its
+   windows; its first occurrence stands for it in what follows;
+3. types that share a minimizer without being equal bring their text to one shard. Its suffixes are sorted
+   (prefix doubling), with the common prefix of each with the one before; the previous and next entries of a
+   smaller place in the corpus give each suffix's longest previous factor, the same arrays mirrored its longest
+   later one. A window that reaches ``length`` bytes has an earlier, or a later, match;
 4. a minimizer with more than ``HOT`` types (a line that a third of all documents share) is not gathered,
-   so a place holds ``HOT`` stretches of less than two windows each at most, which is 1.4 MB: the rest is
+   so a group holds ``HOT`` stretches of less than two windows each at most, which is 0.4 MB: the rest is
    routed again by a longer ``k``, up to whole windows, of which each is one type.
 
 So no group grows with the corpus, and nothing is capped or sampled. ``keep_first`` removes later copies
 only; without it every copy goes.
 
 Documents are handled in chunks of about a megabyte, compressed, whose number and byte offset are a window's
-position. The first copy is the first in the order of partitions and rows.
+position. A longer document is one chunk, hashed in pieces that overlap by a window. The first copy is the first
+in the order of partitions and rows.
 
 Edge cases: null and empty texts have no bytes; a text shorter than a window has none to remove; repeated
 rows are copies; a copy within one document counts; windows that overlap themselves (runs of one byte) too.
-In ``remove``, cuts move inward to whole characters, a document left without text is kept as empty.
+In ``remove``, cuts move inward to whole characters, a document left without text is kept as empty. Extra
+columns of any name are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.suffixes import common_prefixes, previous_factors, suffix_array
 from strandline.llm.hashing import SpanHash, blocks, text_bytes
 from strandline.llm.stream import gathered
 from strandline.llm.work import Scratch, lean
 
-LENGTH, CHUNK, HOT, SHARD = 200, 1 << 20, 4096, 1 << 20
+LENGTH, CHUNK, HOT, SHARD = 200, 1 << 20, 1024, 1 << 18
 _POS_BITS = np.uint64(28)
 
 
@@ -52,9 +57,7 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[n
     """Minimizer, content hash, first window and number of windows of each stretch of the texts."""
     empty = np.zeros(0, np.int64)
     n = len(data)
-    if n < length or n >= 1 << int(_POS_BITS):
-        if n >= length:
-            raise ValueError("a chunk is larger than 256 MB")
+    if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty, empty
     spans = SpanHash(data)
     at = np.arange(n - k + 1)
@@ -83,38 +86,39 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[n
     return h[where[first]], spans(first, last + length), first, count
 
 
-def previous_factor(text: np.ndarray, where: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``text`` at ``where``: has it an earlier match, and any match, of ``length`` bytes?
+def pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, bytes, bounds) of parts of about a chunk at most, which share ``length`` - 1 bytes; together they have each window once."""
+    if len(data) <= 2 * CHUNK:
+        yield 0, data, off
+        return
+    for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        for i in range(x, max(x + 1, y - length + 1), CHUNK):
+            part = data[i : min(y, i + CHUNK + length - 1)]
+            yield i, part, np.array([0, len(part)], np.int64)
 
-    ``order`` is the windows' place in the corpus. Suffixes are sorted by their first ``length`` bytes by
-    prefix doubling, ties in corpus order. The longest previous factor of a suffix is its longer common
-    prefix with the previous and the next smaller corpus position in suffix order; with ties in corpus
-    order, one of them reaches ``length`` exactly if the entry just before agrees in ``length`` bytes.
+
+def matches(texts: list[bytes], order: np.ndarray, length: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, from, to): byte ranges of the texts whose windows have a match, or with ``keep_first`` an earlier one.
+
+    ``order``: each text's place in the corpus. A match is a longest previous factor (or its mirror image) of
+    ``length`` bytes.
     """
-    n = len(text)
-    pad = np.append(text, np.zeros(length + 8, np.uint8)).astype(np.uint64)
-    v = np.zeros(n + length, np.uint64)
-    have = min(8, length)
-    for j in range(have):
-        v = (v << np.uint64(8)) | pad[j : j + n + length]
-    rank = np.unique(v, return_inverse=True)[1]
-    while have < length:
-        step = min(have, length - have)
-        key = rank[: len(rank) - step].astype(np.int64) * np.int64(len(rank) + 1) + rank[step:]
-        have += step
-        if have == length:
-            rank = np.unique(key[where], return_inverse=True)[1]
-        else:
-            rank = np.unique(key, return_inverse=True)[1]
-    if len(rank) != len(where):
-        rank = rank[where]
-    sa = np.lexsort((order, rank))
-    same = np.zeros(len(sa) + 1, bool)
-    same[1:-1] = rank[sa[1:]] == rank[sa[:-1]]
-    earlier, match = np.zeros(len(sa), bool), np.zeros(len(sa), bool)
-    earlier[sa] = same[:-1]  # the previous smaller position is the entry before
-    match[sa] = same[:-1] | same[1:]
-    return earlier, match
+    size = np.array([len(x) for x in texts], np.int64)
+    end = np.cumsum(size + 1) - 1
+    seq = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 1
+    seq[end] = 0
+    row = np.repeat(np.arange(len(texts)), size + 1)
+    inner = np.arange(len(seq)) - (end - size)[row]
+    place = order[row] * np.int64(1 << 20) + inner
+    ranks: list = []
+    sa = suffix_array(seq, ranks)
+    prefixes = common_prefixes(seq, sa, ranks, length)
+    del ranks
+    hit = previous_factors(sa, prefixes, place, length) >= length
+    if not keep_first:
+        hit |= previous_factors(sa, prefixes, -place, length) >= length
+    a, b = _runs(hit, row)
+    return row[a], inner[a], inner[b] + length
 
 
 _CHUNK = [("chunk", pa.int64()), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())]
@@ -142,8 +146,8 @@ class _Finder:
     def __init__(self, docs: DataFrame, text: str, length: int, keep_first: bool, scratch: Scratch):
         self.length, self.keep_first, self.scratch = length, keep_first, scratch
         self.ks = grams(length)
-        rest = [c for c in docs.columns if c != text]
-        src = docs.select(F.col(text).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.col(text).isNull().alias("__null")).alias("rows"))
+        rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+        src = docs.select(F.col(text).alias("text"), F.struct(F.struct(*rest or [F.lit(0).alias("none")]).alias("row"), F.col(text).isNull().alias("no_text")).alias("rows"))
         kind = src.schema["rows"].dataType
 
         @lean
@@ -172,8 +176,9 @@ class _Finder:
             for b in batches:
                 for c, sizes, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                     off = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                    mh, ch, pos, n = stretches(_unpack(blob, off), off, length, k)
-                    yield pa.RecordBatch.from_arrays([_ints(mh), _ints(ch), pa.array(np.full(len(pos), c)), pa.array(pos), pa.array(n, pa.int32())], schema=_OCC)
+                    for at, part, bounds in pieces(_unpack(blob, off), off, length):
+                        mh, ch, pos, n = stretches(part, bounds, length, k)
+                        yield pa.RecordBatch.from_arrays([_ints(mh), _ints(ch), pa.array(np.full(len(pos), c)), pa.array(pos + at), pa.array(n, pa.int32())], schema=_OCC)
 
         return self.chunks.select("chunk", "sizes", "blob").mapInArrow(run, "mh long, ch long, chunk long, pos long, n int")
 
@@ -187,34 +192,30 @@ class _Finder:
             for b in batches:
                 for i in range(b.num_rows):
                     off = np.concatenate([[0], np.cumsum(b.column(1)[i].values.to_numpy(), dtype=np.int64)])
-                    raw = _unpack(b.column(2)[i], off).tobytes()
-                    a = b.column(3)[i].values
-                    pos, n = a.field("pos"), a.field("n")
-                    texts = [raw[p : p + m + length - 1] for p, m in zip(pos.to_pylist(), n.to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([a.field("mh"), pa.array(np.full(len(a), b.column(0)[i].as_py())), pos, n, a.field("c"), a.field("types"), pa.array(texts, pa.binary())], schema=_CTX)
+                    raw = memoryview(_unpack(b.column(2)[i], off))
+                    asked = b.column(3)[i].values
+                    for j in range(0, len(asked), 8192):
+                        a = asked.slice(j, 8192)
+                        pos, n = a.field("pos"), a.field("n")
+                        texts = [bytes(raw[p : p + m + length - 1]) for p, m in zip(pos.to_pylist(), n.to_pylist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([a.field("mh"), pa.array(np.full(len(a), b.column(0)[i].as_py())), pos, n, a.field("c"), a.field("types"), pa.array(texts, pa.binary())], schema=_CTX)
 
         return self.chunks.select("chunk", "sizes", "blob").join(asked, "chunk").mapInArrow(run, _CTX_SQL)
 
     def compare(self, ctx: DataFrame) -> DataFrame:
         """Byte ranges to remove, from stretches that share a minimizer (step 3)."""
         length, keep_first = self.length, self.keep_first
-        ctx = ctx.select("mh", "chunk", "pos", "n", "text").repartition("mh").sortWithinPartitions("mh")
+        ctx = ctx.select("mh", "chunk", "pos", "text").repartition("mh").sortWithinPartitions("mh")
 
         @lean
         def run(batches):
             for t in gathered(batches, 1, "text", SHARD):
-                n = t["n"].to_numpy().astype(np.int64)
-                text = np.frombuffer(b"".join(t["text"].to_pylist()), np.uint8)
-                base = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
-                row = np.repeat(np.arange(len(n)), n)
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 chunk, pos = t["chunk"].to_numpy(), t["pos"].to_numpy()
                 place = np.lexsort((pos, chunk))
-                order = np.empty(len(n), np.int64)
-                order[place] = np.arange(len(n))
-                earlier, match = previous_factor(text, base[row] + inner, order[row] * np.int64(1 << 20) + inner, length)
-                a, b = _runs(earlier if keep_first else match, row)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[row[a]]), pa.array(pos[row[a]] + inner[a]), pa.array(pos[row[b]] + inner[b] + length)], schema=_CUT)
+                order = np.empty(len(place), np.int64)
+                order[place] = np.arange(len(place))
+                row, a, b = matches(t["text"].to_pylist(), order, length, keep_first)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[row]), pa.array(pos[row] + a), pa.array(pos[row] + b)], schema=_CUT)
 
         return ctx.mapInArrow(run, _CUT_SQL)
 
@@ -256,11 +257,12 @@ class _Finder:
     def cuts(self) -> DataFrame:
         """(chunk, a, b): byte ranges to remove, as they were found; they overlap."""
         s = self.scratch
-        occ = self.occurrences()
+        every = s.save(self.occurrences(), "hashes")
         # written first, so that both sides of the join are plain shuffles and Spark can split a hot minimizer
-        again = s.save(occ.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh"), "minimizers")
+        again = s.save(every.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh"), "minimizers")
         s.release()
-        occ = s.save(occ.join(again.hint("merge"), "mh", "left_semi"), "occurrences")
+        occ = s.save(every.join(again.hint("merge"), "mh", "left_semi"), "occurrences")
+        s.drop(every)
         s.drop(again)
         s.release()
         types, shared = self._types(occ, F.count("*"))
@@ -302,16 +304,30 @@ def _unpack(blob: pa.Scalar, off: np.ndarray) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob.as_buffer(), size, codec="zstd"), np.uint8) if size else np.zeros(0, np.uint8)
 
 
-def _removed(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, bounds of texts, and which bytes go, of row i (chunk, sizes, blob, rows, cuts)."""
+def _removed(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """Bytes, bounds of texts, and the maximal byte ranges of each text that go, of row i (chunk, sizes, blob, rows, cuts)."""
     off = np.concatenate([[0], np.cumsum(b.column(1)[i].values.to_numpy(), dtype=np.int64)])
     data = _unpack(b.column(2)[i], off)
-    edge = np.zeros(len(data) + 1, np.int64)
+    gone: list[list[tuple[int, int]]] = [[] for _ in range(len(off) - 1)]
     cuts = b.column(4)[i]
-    if cuts.is_valid:
-        np.add.at(edge, cuts.values.field("a").to_numpy(), 1)
-        np.add.at(edge, cuts.values.field("b").to_numpy(), -1)
-    return data, off, np.cumsum(edge)[:-1] > 0
+    if cuts.is_valid and len(cuts.values):
+        x, y = cuts.values.field("a").to_numpy(), cuts.values.field("b").to_numpy()
+        o = np.lexsort((y, x))
+        x, y = x[o], np.maximum.accumulate(y[o])
+        doc = np.searchsorted(off, x, "right") - 1
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] > y[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(x)) - 1
+        for d, p, q in zip(doc[first].tolist(), x[first].tolist(), y[last].tolist(), strict=True):
+            gone[d].append((p, q))
+    return data, off, gone
+
+
+def _kept(start: int, stop: int, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of [start, stop) without the sorted ranges."""
+    edges = [start, *[e for r in gone for e in r], stop]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
@@ -324,12 +340,15 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
         for b in batches:
             for i in range(b.num_rows):
                 data, off, gone = _removed(b, i)
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                first, _ = _runs(gone, doc)
-                spans = np.bincount(doc[first], minlength=len(off) - 1)
-                removed = np.bincount(doc[gone], minlength=len(off) - 1)
-                sha = [hashlib.sha256(data[x:y][~gone[x:y]].tobytes() if r else data[x:y].tobytes()).hexdigest() for x, y, r in zip(off[:-1], off[1:], removed, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(3)[i].values.field("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], schema=schema)
+                shas = []
+                for x, y, g in zip(off[:-1].tolist(), off[1:].tolist(), gone, strict=True):
+                    sha = hashlib.sha256()
+                    for p, q in _kept(x, y, g):
+                        sha.update(data[p:q])
+                    shas.append(sha.hexdigest())
+                removed = [sum(q - p for p, q in g) for g in gone]
+                ids = b.column(3)[i].values.field("row").field("doc_id")
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off), pa.int64()), pa.array(removed, pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(shas)], schema=schema)
 
     return finder.with_cuts().select("chunk", "sizes", "blob", "rows", "cuts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -338,23 +357,29 @@ def remove(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, text:
     """``docs`` with repeated passages cut from ``text``; all rows and columns stay."""
     cols = docs.columns
     finder = _Finder(docs, text, length, keep_first, Scratch(docs.sparkSession, "suffixes"))
-    out = T.StructType([T.StructField("__row", finder.row_type), T.StructField("__text", T.StringType())])
+    out = T.StructType([T.StructField("row", finder.row_type), T.StructField("text", T.StringType())])
 
     @lean
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 data, off, gone = _removed(b, i)
-                # a character of which some byte stays, stays whole
-                lead = (data & 0xC0) != 0x80
-                if gone.any() and not lead.all():
-                    char = np.cumsum(lead) - 1
-                    stays = np.bincount(char[~gone], minlength=char[-1] + 1) > 0
-                    gone &= ~stays[char]
                 rows = b.column(3)[i].values
-                null = rows.field("__null").to_pylist()
-                texts = [None if z else data[x:y][~gone[x:y]].tobytes().decode("utf-8") for x, y, z in zip(off[:-1], off[1:], null, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], names=["__row", "__text"])
+                none = rows.field("no_text").to_pylist()
+                texts = []
+                for x, y, g, z in zip(off[:-1].tolist(), off[1:].tolist(), gone, none, strict=True):
+                    left = _kept(x, y, [_whole(data, p, q, y) for p, q in g])
+                    texts.append(None if z else b"".join(data[p:q].tobytes() for p, q in left).decode("utf-8"))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], names=["row", "text"])
 
     got = finder.with_cuts().select("chunk", "sizes", "blob", "rows", "cuts").mapInArrow(run, out)
-    return got.select(*[F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`") for c in cols])
+    return got.select(*[F.col("text").alias(c) if c == text else F.col(f"row.row.`{c}`") for c in cols])
+
+
+def _whole(data: np.ndarray, p: int, q: int, stop: int) -> tuple[int, int]:
+    """[p, q) without the characters that it has only in part."""
+    while p < q and data[p] & 0xC0 == 0x80:
+        p += 1
+    while p < q < stop and data[q] & 0xC0 == 0x80:
+        q -= 1
+    return p, q
