@@ -1,28 +1,29 @@
 """Near-duplicate documents by MinHash with tensored banding, verified on full shingle sets.
 
 Each distinct shingle set gets two collections of ``m`` half keys, each half key made from ``rows`` minhashes.
-A table's key joins one half key of each collection, so ``m * m`` tables cost ``2 * m * rows`` minhashes. In a
-table's bucket, everyone is paired with one member drawn by hash (another one in each table); pairs whose
-minhashes agree too seldom for the threshold are dropped. Members whose pair is dropped then meet all others of
-their bucket, in blocks of bounded size, so that in the end each two members of a bucket either agree too seldom
-or are in one family. The components of what is left are families of texts that may link. A family's full sets meet once, in blocks of bounded size if it is large, and all its pairs
-are tried exactly, but for those that some size or count already excludes or that are linked already. Blocks
-send spanning edges, not pairs.
-
-Buckets and families may be of any size: a bucket of like members has as many pairs as members, and only
-those unlike the drawn one are compared with all; a bucket or family of many blocks is spread over tasks block
-by block.
+A table's key joins one half key of each collection, so ``m * m`` tables cost ``2 * m * rows`` minhashes. Then:
+
+1. in each bucket, everyone is paired with the member of the smallest hash, its lead; pairs whose minhashes agree
+   too seldom for the threshold are dropped, and members whose pair is dropped meet all others of their bucket,
+   in blocks of bounded size. So each two members of a bucket either agree too seldom or are in one *family*, a
+   component of pairs that may link;
+2. each member's full set is compared with that of the best lead it agrees with: one exact test a member, which
+   joins a group of near copies of any size in linear time;
+3. families that are still in several parts have every member outside of the largest part compared exactly with
+   all members of other parts, in blocks of bounded size. Two sets that are linked already are not compared.
+
+Exact tests send spanning links, not all pairs. A family's blocks are spread over tasks.
 
 Edge cases: null and empty texts, and texts without words, have an empty set, link with nothing and are
 kept; a null id is never linked, has a null component and is kept; rows that repeat an id share its
-component; a text of fewer words than a shingle is one shingle. Extra columns are kept by ``dedup``.
+component; a text of fewer words than a shingle is one shingle. Extra columns of any name are kept by ``dedup``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.hashing import LOWER, SpanHash, blocks, mix, text_bytes, words
@@ -30,8 +31,8 @@ from strandline.llm.stream import groups
 from strandline.llm.work import Scratch, components, lean
 
 WORDS, COLLECTION, ROWS, BLOCK = 5, 8, 3, 1 << 20
-#: Shingles of a block of a family; a family with more is compared block by block.
-FAMILY_BLOCK = 400_000
+#: Shingles, and members, of a block of a group; a larger group is compared block by block.
+FAMILY_BLOCK, FAMILY_MEMBERS = 400_000, 8192
 #: Members of a block of a bucket, on both sides.
 BUCKET_BLOCK = 2048
 _WORD = np.ones(256, bool)
@@ -101,17 +102,20 @@ def signatures(docs: DataFrame, n_words: int, m: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIG_SQL)
 
 
-def _families(sig: DataFrame, scratch: Scratch, threshold: float, m: int, rows: int) -> DataFrame:
-    """(node, component): documents that may link, by family."""
+def _order(doc: str) -> Column:
+    return F.xxhash64(doc, F.lit("lead"))
+
+
+def _candidates(sig: DataFrame, scratch: Scratch, threshold: float, m: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(member, lead) that may link, and (a, b): pairs that span the families of all that may."""
     k = 2 * m * rows
     least = int(np.floor(k * threshold - 4.5 * np.sqrt(k * threshold * (1 - threshold))))
     half = sig.select("doc_id", F.posexplode("left").alias("i", "a"), "right").select("doc_id", "i", "a", F.posexplode("right").alias("j", "b"))
     keys = half.select(F.xxhash64("a", "b", "i", "j").alias("key"), "doc_id")
-    lead = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("lead")).where("n > 1").select("key", "lead")
+    lead = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", _order("doc_id")).alias("lead")).where("n > 1").select("key", "lead")
     # both sides grow with the corpus: never a broadcast, whatever a small table would allow
-    ends = (F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
-    members = scratch.save(keys.join(lead.hint("merge"), "key").select("key", "doc_id", "lead", *ends), "members")
-    pairs = members.where("doc_id <> lead").select("a", "b").distinct()
+    members = scratch.save(keys.join(lead.hint("merge"), "key").select("key", F.col("doc_id").alias("a"), F.col("lead").alias("b")), "members")
+    pairs = members.where("a <> b").select("a", "b").distinct()
     sketch = sig.select("doc_id", "sketch")
     both = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ok", pa.bool_())])
@@ -125,13 +129,15 @@ def _families(sig: DataFrame, scratch: Scratch, threshold: float, m: int, rows:
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array((x == y).sum(1) >= least)], schema=schema)
 
     met = scratch.save(both.mapInArrow(agree, "a long, b long, ok boolean"), "met")
-    apart = members.join(met.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key", "doc_id")
+    apart = members.join(met.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("a").alias("doc_id"))
     apart = scratch.save(apart.withColumn("apart", F.lit(True)), "apart")
-    edges = met.where("ok").select("a", "b").union(_apart_links(members, apart, sketch, k, least))
-    family = components(edges, scratch)
+    edges = _apart_links(members.select("key", F.col("a").alias("doc_id")), apart, sketch, k, least)
+    ok = met.where("ok").select("a", "b")
+    edges = scratch.save(ok.union(edges), "may-link")
+    best = scratch.save(ok.groupBy("a").agg(F.min_by("b", _order("b")).alias("lead")).select(F.col("a").alias("member"), "lead"), "leads")
     for done in (members, met, apart):
         scratch.drop(done)
-    return family
+    return best, edges
 
 
 def _apart_links(members: DataFrame, apart: DataFrame, sketch: DataFrame, k: int, least: int) -> DataFrame:
@@ -181,57 +187,130 @@ def _apart_links(members: DataFrame, apart: DataFrame, sketch: DataFrame, k: int
     return rows.mapInArrow(compare, "a long, b long")
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+class Sets:
+    """Some documents' ids, the parts that they are in, and their shingle sets one after the other."""
+
+    def __init__(self, ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]):
+        self.ids, self.parts = ids, parts
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.size)])
+
+
+def spanning_links(ask: Sets, others: Sets, percent: int) -> list[tuple[int, int]]:
+    """Links between ``ask`` and ``others`` that span what 100 * intersection >= percent * union joins of their parts."""
+    flat, inv = np.unique(np.concatenate([ask.flat, others.flat]), return_inverse=True)
+    mine, theirs = inv[: len(ask.flat)], inv[len(ask.flat) :]
+    part = np.unique(np.concatenate([ask.parts, others.parts]), return_inverse=True)[1]
+    root = np.arange(len(part))
+    p_ask, p_all = part[: len(ask.ids)], part[len(ask.ids) :]
+    there = np.zeros(len(flat), bool)
+    there[theirs] = True
+    # shingles that no set of the other side has cannot be common: without enough others, a set links with none
+    common = np.add.reduceat(there[mine].astype(np.int64), ask.bounds[:-1])
+    mark, out = np.zeros(len(flat), bool), []
+    for i in np.flatnonzero(100 * common >= percent * ask.size).tolist():
+        n = ask.size[i]
+        near = np.flatnonzero((root[p_all] != root[p_ask[i]]) & (100 * others.size >= percent * n) & (percent * others.size <= 100 * n))
+        if not len(near):
+            continue
+        own = mine[ask.bounds[i] : ask.bounds[i + 1]]
+        mark[own] = True
+        size = others.size[near]
+        at = np.repeat(others.bounds[near] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        inter = np.add.reduceat(mark[theirs[at]].astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+        mark[own] = False
+        for j in near[100 * inter >= percent * (n + size - inter)].tolist():
+            a, b = root[p_ask[i]], root[p_all[j]]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+                out.append((int(ask.ids[i]), int(others.ids[j])))
+    return out
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
+def _verified(docs: DataFrame, groups_: DataFrame, percent: int, n_words: int) -> DataFrame:
+    """(a, b): exact links that span the parts of each group.
 
+    ``groups_(grp, doc_id, n_shingles, part, ask, other)``: in each group, sets with ``ask`` meet those with
+    ``other``, in blocks on both sides; sets of one part are not compared.
+    """
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets`` under 100 * intersection >= percent * union.
+    def n_blocks(side):
+        mine = F.when(F.col(side), F.col("n_shingles"))
+        return F.greatest(F.ceil(F.sum(mine) / FAMILY_BLOCK), F.ceil(F.count(mine) / FAMILY_MEMBERS))
+
+    load = groups_.groupBy("grp").agg(n_blocks("ask").alias("na"), n_blocks("other").alias("no")).where("na > 0 and no > 0")
+    sides = F.filter(F.array(F.when(F.col("ask"), F.lit(1)), F.when(F.col("other"), F.lit(0))), lambda s: s.isNotNull())
+    rows = groups_.join(load, "grp").withColumn("side", F.explode(sides))
+    is_ask = F.col("side") == 1
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(is_ask, F.col("na")).otherwise(F.col("no"))))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_ask, F.col("no")).otherwise(F.col("na")) - 1)))
+    cell = F.xxhash64("grp", F.when(is_ask, F.col("own")).otherwise(F.col("with")), F.when(is_ask, F.col("with")).otherwise(F.col("own")))
+    meets = rows.groupBy("doc_id").agg(F.collect_list(F.struct(cell.alias("cell"), "grp", F.col("side").cast("long").alias("side"), "part")).alias("groups"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(meets.hint("merge"), "doc_id")
+    kind = pa.list_(pa.struct([("cell", pa.int64()), ("grp", pa.int64()), ("side", pa.int64()), ("part", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("groups", kind), ("shingles", pa.binary())])
 
-    ``side``: only pairs of different sides are tried (blocks of a family that meet in another group).
-    """
-    size = np.array([len(s) for s in sets], np.int64)
-    flat, inv, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    # shingles that no other set here has cannot be common: without enough others, a set links with none
-    common = np.add.reduceat((df[inv] > 1).astype(np.int64), bounds[:-1])
-    order = [i for i in np.argsort(size, kind="stable").tolist() if 100 * common[i] >= percent * size[i]]
-    union, out = _Union(len(sets)), []
-    mark = np.zeros(len(flat), bool)
-    own = [inv[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    for p, i in enumerate(order):
-        later = []
-        for j in order[p + 1 :]:
-            if percent * size[j] > 100 * size[i]:
-                break
-            if (side is None or side[i] != side[j]) and union.root(i) != union.root(j):
-                later.append(j)
-        if not later:
-            continue
-        mark[own[i]] = True
-        cat = np.concatenate([own[j] for j in later])
-        starts = np.concatenate([[0], np.cumsum(size[later])[:-1]])
-        inter = np.add.reduceat(mark[cat].astype(np.int64), starts)
-        mark[own[i]] = False
-        ok = 100 * inter >= percent * (size[i] + size[later] - inter)
-        for j in np.asarray(later)[ok].tolist():
-            if union.join(i, j):
-                out.append((ids[i], ids[j]))
-    return out
+    @lean
+    def reshingle(batches):
+        for b in blocks(batches, 1, BLOCK):
+            v, bounds = shingle_sets(*text_bytes(b.column(1)), n_words)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(kind), pa.array([v[a:c].tobytes() for a, c in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], schema=schema)
+
+    sets = texts.select("doc_id", "text", "groups").mapInArrow(reshingle, "doc_id long, groups array<struct<cell:long,grp:long,side:long,part:long>>, shingles binary")
+    sets = sets.select("doc_id", "shingles", F.explode("groups").alias("g")).select("g.cell", "g.grp", "g.side", "g.part", "doc_id", "shingles")
+    sets = sets.repartition("cell").sortWithinPartitions("cell", "grp", "side", "doc_id")
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    @lean
+    def verify(batches):
+        for g in groups(batches, 2):
+            side, ids, parts = g["side"].to_numpy(), g["doc_id"].to_numpy(), g["part"].to_numpy()
+            raw = g["shingles"].to_pylist()
+            new = np.ones(len(ids), bool)  # rows that repeat an id are one document
+            new[1:] = (ids[1:] != ids[:-1]) | (side[1:] != side[:-1])
+            ask, other = (np.flatnonzero(new & (side == k)) for k in (1, 0))
+            if not len(ask) or not len(other):
+                continue
+            links = spanning_links(*(Sets(ids[at], parts[at], [np.frombuffer(raw[i], np.uint64) for i in at.tolist()]) for at in (ask, other)), percent)
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=edge)
+
+    return sets.mapInArrow(verify, "a long, b long")
+
+
+def _parts(edges: DataFrame, comp: DataFrame) -> DataFrame:
+    """``edges(a, b)`` between the parts of ``comp(node, component)``, each once."""
+    for side in ("a", "b"):
+        edges = edges.join(comp.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part")), side, "left").withColumn(side, F.coalesce(f"{side}_part", side)).drop(f"{side}_part")
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links(docs: DataFrame, distinct: DataFrame, scratch: Scratch, percent: int, n_words: int, m: int, rows: int) -> DataFrame:
+    """(node, component) of the documents that link."""
+    best, may = _candidates(distinct, scratch, percent / 100, m, rows)
+    size = distinct.select("doc_id", "n_shingles")
+    star = best.select(F.col("lead").alias("grp"), F.col("member").alias("doc_id"), F.lit(False).alias("ask"), F.lit(True).alias("other"))
+    star = star.union(best.select(F.col("lead").alias("grp"), F.col("lead").alias("doc_id"), F.lit(True), F.lit(False)).distinct())
+    star = star.join(size, "doc_id").select("grp", "doc_id", "n_shingles", F.col("doc_id").alias("part"), "ask", "other")
+    first = components(_verified(docs, star, percent, n_words), scratch)
+    between = scratch.save(_parts(may, first), "between")
+    if between.isEmpty():
+        return first
+    family = components(between, scratch)
+    # every document of a family, with the part that it is in
+    part = family.select(F.col("node").alias("part"), F.col("component").alias("grp"))
+    node = first.select(F.col("node").alias("doc_id"), F.col("component").alias("part")).union(part.join(first, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("doc_id"), "part"))
+    node = scratch.save(node.join(part, "part").join(size, "doc_id").select("grp", "doc_id", "n_shingles", "part"), "families")
+    largest = node.groupBy("grp", "part").agg(F.sum("n_shingles").alias("n")).groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    asked = node.join(largest, "grp").withColumn("ask", F.col("part") != F.col("largest")).withColumn("other", F.lit(True)).drop("largest")
+    found = scratch.save(_parts(_verified(docs, asked, percent, n_words), first), "more")
+    if found.isEmpty():
+        return first
+    joined = components(found, scratch)
+    after = first.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return after.union(joined.join(first, "node", "left_anti").select("node", "component"))
 
 
 def classes(docs: DataFrame, percent: int = 80, n_words: int = WORDS, m: int = COLLECTION, rows: int = ROWS) -> DataFrame:
@@ -244,48 +323,9 @@ def classes(docs: DataFrame, percent: int = 80, n_words: int = WORDS, m: int = C
     rep = scratch.save(rep, "sets")
     distinct = sig.join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     distinct = scratch.save(distinct.select("doc_id", "n_shingles", "left", "right", "sketch"), "distinct")
-    family = _families(distinct, scratch, percent / 100, m, rows)
-    sizes = family.join(distinct.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    family = scratch.save(sizes, "families")
+    comp = scratch.save(_links(docs, distinct, scratch, percent, n_words, m, rows), "components")
     scratch.drop(distinct)
     scratch.release()
-    # a random member's block; large families have several, and each pair of blocks is a group of its own
-    load = family.groupBy("component").agg(F.ceil(F.sum("n_shingles") / FAMILY_BLOCK).alias("blocks"))
-    dealt = family.join(load, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meet = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(F.col("node").alias("doc_id"), meet.alias("meet"), "component", "block")
-    meets = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("meet", "component", "block")).alias("groups"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(meets.hint("merge"), "doc_id")
-    schema = pa.schema([("doc_id", pa.int64()), ("groups", pa.list_(pa.struct([("meet", pa.int64()), ("component", pa.int64()), ("block", pa.int64())]))), ("shingles", pa.binary())])
-
-    @lean
-    def reshingle(batches):
-        for b in blocks(batches, 1, BLOCK):
-            v, bounds = shingle_sets(*text_bytes(b.column(1)), n_words)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(schema.field(1).type), pa.array([v[a:c].tobytes() for a, c in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], schema=schema)
-
-    sets = texts.select("doc_id", "text", "groups").mapInArrow(reshingle, "doc_id long, groups array<struct<meet:long,component:long,block:long>>, shingles binary")
-    sets = sets.select("doc_id", "shingles", F.explode("groups").alias("g")).select("g.meet", "g.component", "doc_id", "g.block", "shingles")
-    sets = sets.repartition("meet").sortWithinPartitions("meet", "component", "doc_id")
-    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    @lean
-    def verify(batches):
-        for g in groups(batches, 2):
-            ids, sets_, side = [], [], []
-            for d, blk, s in zip(g["doc_id"].to_pylist(), g["block"].to_pylist(), g["shingles"].to_pylist(), strict=True):
-                if not ids or ids[-1] != d:
-                    ids.append(d)
-                    side.append(blk)
-                    sets_.append(np.frombuffer(s, np.uint64))
-            if len(ids) > 1:
-                links = spanning_links(ids, sets_, percent, None if len(set(side)) == 1 else side)
-                if links:
-                    a, b = zip(*links, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=edge)
-
-    comp = components(sets.mapInArrow(verify, "a long, b long"), scratch)
     per_set = rep.join(comp, F.col("rep") == F.col("node"), "left").select("set1", "set2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     per_set = scratch.save(per_set, "classes")
     out = sig.select("doc_id", "n_shingles", "set1", "set2").join(per_set, ["set1", "set2", "n_shingles"], "left")
@@ -298,5 +338,6 @@ def dedup(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
 
     Rows that repeat an id of a kept document all stay: they are one document.
     """
-    gone = classes(docs, percent, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = classes(docs.select("doc_id", "text"), percent, **options).where("not kept").select(F.struct("doc_id").alias("gone")).distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return row.join(gone, F.col("row.doc_id") == F.col("gone.doc_id"), "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of rows that go to a Python worker at once, where the session leaves that open.
 BATCH_BYTES = 4 << 20
+#: Rows of narrow tables for which one file will do.
+ROWS_A_FILE = 200_000
 
 
 def lean(run):
@@ -96,8 +98,11 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``rows``: how many there are at most, if known, so that few rows do not make many files."""
         path = self.path(name)
+        if rows is not None:
+            df = df.coalesce(1 + rows // ROWS_A_FILE)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strandline_path = path
@@ -116,31 +121,30 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` by alternating large and small stars.
 
     Returns ``(node, component)`` for each node of an edge; ``component`` is the smallest node that links
     reach. Null ends and self-links are ignored. All steps are joins and partial aggregates over edges;
-    nothing is gathered per component.
+    nothing is gathered per component. Each round but the last shortens the longest path.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = e.where("a is not null and b is not null and a <> b").distinct()
     e = scratch.save(e, "edges")
-    seen = None
-    for _ in range(max_rounds):
+    seen, rows = None, e.count()
+    while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low2, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s"))
-        nxt = scratch.save(small.select("s.a", "s.b").where("a <> b").distinct(), "edges")
+        nxt = scratch.save(small.select("s.a", "s.b").where("a <> b").distinct(), "edges", 2 * rows)
         scratch.drop(e)
         e = nxt
         sign = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        now = (sign["n"], sign["h"])
+        now, rows = (sign["n"], sign["h"]), sign["n"]
         if now == seen:
             roots = e.select(F.col("b").alias("node")).distinct()
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
         seen = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -350,7 +350,8 @@ def test_minhash_unlike_bucket(spark, block, monkeypatch):
         sketch[b, r.choice(48, 10, replace=False)] = r.integers(0, 256, 10)
     rows = [(i, [1, *(10_000 * j + i for j in range(1, 8))], [2, *(10_000 * j + i for j in range(1, 8))], bytearray(s.tobytes())) for i, s in enumerate(sketch)]
     sig = spark.createDataFrame(rows, "doc_id long, left array<long>, right array<long>, sketch binary")
-    got = {x["node"]: x["component"] for x in minhash_dedup._families(sig, work.Scratch(spark, "t"), 0.85, 8, 3).collect()}
+    scratch = work.Scratch(spark, "t")
+    got = {x["node"]: x["component"] for x in work.components(minhash_dedup._candidates(sig, scratch, 0.85, 8, 3)[1], scratch).collect()}
     assert got == {x: a for a, b in pairs for x in (a, b)}
 
 
