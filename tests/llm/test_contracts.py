@@ -83,6 +83,23 @@ def test_html_extraction(spark, sf_dir):
         assert got[p["page_id"]]["text"] == "\n".join(b for b in blocks if b)
 
 
+def test_html_extraction_unmarked(spark):
+    """The pages with their article tags taken away: differencing alone finds the articles, but for sentences that neighbours share."""
+    import html
+    import re
+
+    from strandline.llm import html_extract
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))).collect()}
+    right = 0
+    for p in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", article))
+        right += got[p["page_id"]] == "\n".join(b for b in blocks if b)
+    assert right >= 0.985 * len(got)  # the rest repeats a sentence that most of its neighbours have
+
+
 def test_minhash_dedup(spark, sf_dir, docs):
     got = rows(Q.op8_minhash_dedup(spark, sf_dir), "n_shingles", "component_id", "kept")
     want = brute.near(docs)

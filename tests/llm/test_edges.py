@@ -304,6 +304,38 @@ def test_html_neighbours(spark):
         assert got == want
 
 
+def test_html_inline_parts(spark):
+    """Dropped parts inside a block do not split it; a class name alone does not end a block either."""
+    pages = [(1, "http://a/1", "<p>one <button>b</button> two<script>var x;</script> three</p>"), (2, "http://b/1", "<article><p>a <select><option>x</select> b</p><p>c</p></article>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {1: "one two three", 2: "a b\nc"}
+
+
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_html_template_in_the_article(spark, mark):
+    """Blocks that all pages of a host share go, in marked articles as well; a sentence of a few pages stays."""
+    notice = "<p>Please support this site</p>"
+    body = [[f"Page {i} line {k}" for k in range(12)] + ["A common sentence."] * (i % 4 == 0) for i in range(24)]
+    pages = [(i, f"http://site/{i:02}", f"<{mark}>{notice}{''.join(f'<p>{t}</p>' for t in b)}</{mark}>") for i, b in enumerate(body)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == {i: "\n".join(b) for i, b in enumerate(body)}
+
+
+def test_html_long_host(spark, monkeypatch):
+    """A host that is held in parts gives the same texts."""
+    pages = [(i, f"http://site/{i:04}", f"<div>Menu</div><p>Own text {i}</p><p>Group {i // 300}</p><div>Foot</div>") for i in range(1500)]
+    from strandline.llm.html_extract import _DONE, _OPEN, _difference, lines
+
+    monkeypatch.setattr(html_extract, "HELD", 20_000)
+    rows = ((i, u, "site", u, *lines(h), _OPEN) for i, u, h in pages)
+    got = {r["page_id"]: r["text"] for b in _difference(rows, False, 0.8, 0.1) for r in b.to_pylist() if r["kind"] == _DONE}
+    assert got.keys() == {p[0] for p in pages}
+    for i, text in got.items():
+        edge = min(i % 300, 299 - i % 300)  # beside another group the last group's line is shared on one side only
+        assert text == f"Own text {i}" or edge < 4
+
+
 def test_lcs_against_table():
     r = random.Random(5)
     for _ in range(200):
