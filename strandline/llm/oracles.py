@@ -77,3 +77,9 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGI
   CASE WHEN spans IS NULL THEN sha256(b) ELSE coalesce(sha, sha256('')) END AS kept_sha256
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["word_counts"] = r"""
+WITH d AS (SELECT 'words' AS tokenizer, source, lang, length(coalesce(text, '')) AS n_chars, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents)
+SELECT tokenizer, source, lang, CAST(grouping(tokenizer, source, lang) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+FROM d GROUP BY GROUPING SETS ((tokenizer, source, lang), (tokenizer, source), (tokenizer))
+"""

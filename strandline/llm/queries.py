@@ -36,25 +36,35 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(_table(spark, sf_dir, "embeddings"), 0.98)
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _token_counts(spark: SparkSession, sf_dir: str, tokenizers: dict[str, str | None]) -> DataFrame:
     """The totals of all documents, after a load of drafts, a revision of each row, and a delete and new insert of a part.
 
-    The load is committed twice; the second time changes nothing.
+    The load is committed twice; the second time changes nothing. The deltas are folded before the last batch.
     """
     docs = _table(spark, sf_dir, "documents").select("source", "lang", "text")
     half = F.expr("substring(text, 1, length(text) div 2)")
     drafts = docs.withColumn("text", half)
     change = docs.select("source", "lang", "text", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), half.alias("old_text"))
     part = docs.where(F.crc32("text") % 4 == 0)
-    ledger = token_counts.TokenLedger(spark, Scratch(spark, "tokens").root, {"words": None, TOKENIZER.split(".")[0]: public_tokenizers.path(TOKENIZER)})
+    ledger = token_counts.TokenLedger(spark, Scratch(spark, "tokens").root, tokenizers)
     ledger.commit("load", token_counts.signed(inserts=drafts))
     ledger.commit("load", token_counts.signed(inserts=drafts))
     ledger.commit("revise", token_counts.signed(revised=change))
     ledger.commit("delete", token_counts.signed(deletes=part))
+    ledger.compact()
     ledger.commit("insert", token_counts.signed(inserts=part))
     return ledger.rollup()
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_counts(spark, sf_dir, {"words": None, TOKENIZER.split(".")[0]: public_tokenizers.path(TOKENIZER)})
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op3_token_counts``, for the tokenizer that SQL can express."""
+    return _token_counts(spark, sf_dir, {"words": None})
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(_table(spark, sf_dir, "documents"))
 
@@ -96,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_embedding_dedup, op3_token_counts, op4_suffix_dedup, op5_quality, op6_url_filter, op7_html_extraction, op8_minhash_dedup, op9_toxicity, op10_packing, pipeline)
+    own = (op1_decontamination, op2_embedding_dedup, op3_token_counts, op4_suffix_dedup, op5_quality, op6_url_filter, op7_html_extraction, op8_minhash_dedup, op9_toxicity, op10_packing, word_counts, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -71,14 +71,49 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def rename(spark: SparkSession, src: str, dst: str) -> bool:
-    """Move a folder in one step; False when the target is already there."""
-    a, fs = _fs(spark, src)
-    b, _ = _fs(spark, dst)
-    if fs.exists(b):
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    p, fs = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def create(spark: SparkSession, path: str, text: str, by_link: bool | None = None) -> bool:
+    """Writes a small file that is there whole or not at all; False if there is one already.
+
+    The text goes to a file of its own first. On a local or mounted folder that gets its name by a hard link,
+    elsewhere by a rename that does not overwrite (atomic on HDFS); of several writers one succeeds.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p, fs = _fs(spark, path)
+    tmp, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(tmp)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    dst, src = fs.makeQualified(p), fs.makeQualified(tmp)
+    try:
+        if fs.getUri().getScheme() == "file" if by_link is None else by_link:
+            jvm.java.nio.file.Files.createLink(jvm.java.nio.file.Paths.get(dst.toUri()), jvm.java.nio.file.Paths.get(src.toUri()))
+        else:
+            kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            how = spark.sparkContext._gateway.new_array(kind, 1)
+            how[0] = kind.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), conf).rename(src, dst, how)
+        return True
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e):
+            raise
         return False
-    fs.mkdirs(b.getParent())
-    return fs.rename(a, b)
+    finally:
+        fs.delete(tmp, False)
 
 
 class Scratch:

@@ -47,6 +47,15 @@ def test_token_counts(spark, sf_dir, docs):
     assert all(r["n_docs"] == len(docs) for r in got)
 
 
+def test_word_counts_oracle(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    cols = "tokenizer, source, lang, level, n_docs, n_chars, n_tokens"
+    want = sorted(con.execute(f"select {cols} from ({Q.oracle_sql()['word_counts']})").fetchall(), key=str)
+    got = sorted((tuple(r) for r in Q.word_counts(spark, sf_dir).select(*cols.split(", ")).collect()), key=str)
+    assert got == want
+
+
 def test_suffix_dedup(spark, sf_dir, docs):
     got = rows(Q.op4_suffix_dedup(spark, sf_dir), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = brute.repeats(docs)

@@ -133,6 +133,69 @@ def test_token_ledger(spark, odd, tmp_path):
     assert undo.columns == ["source", "lang", "text", "sign"]
 
 
+def test_token_ledger_crashes_and_races(spark, odd, tmp_path, monkeypatch):
+    """Totals are right before, between and after the steps of a fold, and of several writers of one batch one counts."""
+    import threading
+
+    docs = spark.createDataFrame(odd, DOCS)
+    ledger = token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger", {"words": None})
+
+    def totals():
+        return sorted(map(tuple, token_counts.TokenLedger(spark, ledger.path, ledger.tokenizers).totals().collect()), key=str)
+
+    ledger.commit("one", token_counts.signed(inserts=docs))
+    ledger.commit("two", token_counts.signed(inserts=docs))
+    want = totals()
+    append = token_counts.TokenLedger._append
+
+    def dies(*_):
+        assert totals() == want
+        raise OSError("lost")
+
+    monkeypatch.setattr(token_counts.TokenLedger, "_append", dies)
+    for step in (ledger.compact, lambda: ledger.commit("three", token_counts.signed(inserts=docs))):
+        with pytest.raises(OSError, match="lost"):
+            step()
+        assert totals() == want
+    monkeypatch.setattr(token_counts.TokenLedger, "_append", append)
+    assert ledger.compact() and totals() == want and not ledger.compact()
+    assert not ledger.commit("one", token_counts.signed(inserts=docs))
+    # several writers have seen the same state before any of them has written
+    barrier, done = threading.Barrier(4, timeout=100), []
+    state = token_counts.TokenLedger._state
+
+    def same(self):
+        out = state(self)
+        if out.n == 3:
+            barrier.wait()
+        return out
+
+    monkeypatch.setattr(token_counts.TokenLedger, "_state", same)
+    writers = [threading.Thread(target=lambda: done.append(ledger.commit("four", token_counts.signed(inserts=docs)))) for _ in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    monkeypatch.setattr(token_counts.TokenLedger, "_state", state)
+    assert sorted(done) == [False, False, False, True]
+    assert [r[4] for r in totals()] == [3 * r[4] // 2 for r in want]
+    assert ledger.clean() == 4 and len(ledger._state().live) == 2  # two folded, two lost
+    for by_link in (True, False):
+        place = f"file://{tmp_path}/new-{by_link}"
+        assert work.create(spark, place, "a", by_link) and not work.create(spark, place, "b", by_link) and work.read_text(spark, place) == "a"
+
+
+def test_token_ledger_snapshots(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "SNAPSHOT", 3)
+    docs = spark.createDataFrame(odd[:2], DOCS)
+    ledger = token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger", {"words": None})
+    for i in range(7):
+        assert ledger.commit(f"b{i}", token_counts.signed(inserts=docs))
+        assert not ledger.commit(f"b{i // 2}", token_counts.signed(inserts=docs))
+    assert len(ledger._state().live) == 7 and ledger.compact() and len(ledger._state().ids) == 7
+    assert ledger.totals().agg(F.sum("n_docs")).first()[0] == 14
+
+
 def test_token_query_runs_signed_deltas(spark, sf_dir, monkeypatch):
     """The registered query revises every row and deletes some, and ends with the plain totals."""
     from strandline.llm import queries
