@@ -6,14 +6,15 @@ the Burrows-Wheeler transform goes into a wavelet matrix, and all test phrases a
 by its ranks. The rows of a phrase's range are located by walking to the nearest sampled suffix position.
 The occurrences' word spans are merged into spans to remove.
 
-The benchmark is split in blocks of ``block_bytes`` by hash of the item; each block is broadcast and handled
-by a pass of its own over the rows, which carry the spans found so far, so no block outgrows its bound and
-documents are not shuffled.
+The benchmark is split in blocks of ``block_bytes`` by hash of the item; each block is broadcast as a matrix of
+word numbers and handled by a pass of its own over the rows, which carry the spans found so far, so no block
+outgrows its bound and documents are not shuffled. After ``CHAINED`` passes the rows are written, so that a task
+never has more Python workers.
 
 Edge cases: null or empty texts have no words and no spans; an item without words, or a null one, tests
 nothing; an item shorter than a window is one window; item ids that repeat count once; a null item id is the
-string ``null``; an empty benchmark finds nothing; repeated documents are each reported. A document longer
-than a shard is a shard of its own. Extra columns are kept; those named like the results are replaced.
+string ``null``; an empty benchmark finds nothing; repeated documents are each reported. A document of more
+than two shards is searched in pieces that share all but one word of a window. Extra columns are kept; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.suffixes import suffix_array
 from strandline.llm.hashing import LOWER, SpanHash, blocks, text_bytes, words
-from strandline.llm.work import lean, small_batches
+from strandline.llm.work import Scratch, lean, small_batches
 
-WINDOW, SHARD_BYTES, SAMPLE, BLOCK_BYTES = 13, 4 << 20, 16, 16 << 20
+WINDOW, SHARD_BYTES, SAMPLE, BLOCK_BYTES, CHAINED = 13, 4 << 20, 16, 4 << 20, 4
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
@@ -39,61 +41,32 @@ class Phrases:
         data, off = text_bytes(texts)
         data = LOWER[data]
         s, e, first = words(data, off, _WORD)
-        h = SpanHash(data)(s, e)
-        self.vocab, code = np.unique(h, return_inverse=True)
-        seen: dict[tuple, set] = {}
-        for i, name in enumerate(ids):
-            w = code[first[i] : first[i + 1]].tolist()
-            for k in range(max(0, len(w) - window) + 1 if w else 0):
-                seen.setdefault(tuple(w[k : k + window]), set()).add(name)
-        self.windows = sorted(seen)
-        self.items = [sorted(seen[w]) for w in self.windows]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.codes = np.zeros((len(self.windows), window), np.int64)
-        for i, w in enumerate(self.windows):
-            self.codes[i, : len(w)] = np.array(w) + 1  # 0 is the separator
-
-
-def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Suffix order of a sequence whose zeros all differ, in the order of their positions, below all else.
-
-    Prefix doubling; a round sorts only suffixes whose place is not settled.
-    """
-    n = len(seq)
-    zero = seq == 0
-    nz = int(zero.sum())
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    order = np.argsort(seq, kind="stable")
-    sa = order.copy()
-    sv = seq[order]
-    new = np.ones(n, bool)
-    new[1:] = sv[1:] != sv[:-1]
-    new[:nz] = True
-    starts = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = starts
-    single = new & np.append(new[1:], True)
-    active = order[~single]
-    h = 1
-    while len(active):
-        second = rank[np.minimum(active + h, n)]
-        key = (rank[active] << np.int64(32)) | (second + 1)
-        o = np.argsort(key, kind="stable")
-        active, key = active[o], key[o]
-        base = key >> np.int64(32)
-        group = np.ones(len(active), bool)
-        group[1:] = base[1:] != base[:-1]
-        sub = np.ones(len(active), bool)
-        sub[1:] = key[1:] != key[:-1]
-        i = np.arange(len(active))
-        in_group = i - np.maximum.accumulate(np.where(group, i, 0))
-        sa[base + in_group] = active
-        place = base + in_group
-        rank[active] = place[np.maximum.accumulate(np.where(sub, i, 0))]
-        single = sub & np.append(sub[1:], True)
-        active = active[~single]
-        h *= 2
-    return sa
+        self.vocab, code = np.unique(SpanHash(data)(s, e), return_inverse=True)
+        n = np.diff(first)
+        count = np.where(n == 0, 0, np.maximum(0, n - window) + 1)
+        item = np.repeat(np.arange(len(n)), count)
+        at = first[:-1][item] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(n[item], window)
+        codes = np.zeros((len(at), window), np.int32)  # 0 is the separator
+        padded = np.append(code, 0)
+        for k in range(window):
+            codes[:, k] = np.where(k < length, padded[np.minimum(at + k, len(code))] + 1, 0)
+        order = np.lexsort(codes.T[::-1])
+        codes, item = codes[order], item[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]).any(1)
+        self.codes = codes[new]
+        self.length = (self.codes > 0).sum(1)
+        # each window's distinct item names, one window after the other
+        self.names, named = np.unique(np.array(ids, object).astype(str) if ids else np.zeros(0, str), return_inverse=True)
+        pair = np.unique((np.cumsum(new) - 1).astype(np.int64) * max(1, len(self.names)) + (named[item] if len(item) else 0))
+        self.item = (pair % max(1, len(self.names))).astype(np.int32)
+        self.bounds = np.searchsorted(pair // max(1, len(self.names)), np.arange(len(self.codes) + 1))
+
+    def items(self, which: np.ndarray) -> list[str]:
+        """Names of the items that have one of the windows."""
+        at = np.concatenate([np.arange(self.bounds[w], self.bounds[w + 1]) for w in which]) if len(which) else np.zeros(0, np.int64)
+        return [str(x) for x in self.names[np.unique(self.item[at])]]
 
 
 class FmIndex:
@@ -181,7 +154,7 @@ def _search_shard(data: np.ndarray, off: np.ndarray, p: Phrases) -> tuple[np.nda
     spans: list[list[tuple[int, int, int, int]]] = [[] for _ in range(n_docs)]
     items: list[set[str]] = [set() for _ in range(n_docs)]
     n_words = np.diff(first)
-    if not len(s) or not p.windows:
+    if not len(s) or not len(p.codes):
         return n_words, spans, items
     h = SpanHash(low)(s, e)
     at = np.minimum(np.searchsorted(p.vocab, h), len(p.vocab) - 1)
@@ -211,11 +184,39 @@ def _search_shard(data: np.ndarray, off: np.ndarray, p: Phrases) -> tuple[np.nda
     for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
         k = int(doc[a])
         spans[k].append((a - int(first[k]), b - int(first[k]), int(s[a] - off[k]), int(e[b - 1] - off[k])))
-    for k, w in {*zip(d.tolist(), which.tolist(), strict=True)}:
-        items[k].update(p.items[w])
+    pair = np.unique(d * np.int64(len(p.codes)) + which)
+    at = np.searchsorted(pair // len(p.codes), np.arange(n_docs + 1))
+    for k in np.flatnonzero(np.diff(at)).tolist():
+        items[k].update(p.items(pair[at[k] : at[k + 1]] % len(p.codes)))
     return n_words, spans, items
 
 
+def _search(data: np.ndarray, off: np.ndarray, p: Phrases, shard_bytes: int) -> tuple[np.ndarray, list, list[set[str]]]:
+    """As ``_search_shard``; one document of more than two shards is searched in pieces."""
+    if len(off) != 2 or len(data) <= 2 * shard_bytes:
+        return _search_shard(data, off, p)
+    spans: list = []
+    items: set[str] = set()
+    at = before = 0
+    limit = shard_bytes
+    while True:
+        stop = min(len(data), at + limit)
+        while stop < len(data) and _WORD[LOWER[data[stop]]]:  # not within a word
+            stop += 1
+        part = data[at:stop]
+        n, found, named = _search_shard(part, np.array([0, len(part)], np.int64), p)
+        spans = merge_spans(spans, [(a + before, b + before, c + at, d + at) for a, b, c, d in found[0]])
+        items |= named[0]
+        if stop == len(data):
+            return np.array([before + int(n[0])], np.int64), [spans], [items]
+        starts = words(LOWER[part], np.array([0, len(part)], np.int64), _WORD)[0]
+        on = len(starts) - (p.codes.shape[1] - 1)
+        if on <= 0:  # fewer words than a window: a longer piece
+            limit *= 2
+            continue
+        before, at, limit = before + on, at + int(starts[on]), shard_bytes
+
+
 SPAN = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("word_from", "word_to", "byte_from", "byte_to")]))
 _SPAN_PA = pa.list_(pa.struct([(n, pa.int64()) for n in ("word_from", "word_to", "byte_from", "byte_to")]))
 
@@ -250,7 +251,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         def run(batches, phrases=phrases):
             p = phrases.value
             for b in blocks(batches, 1, shard_bytes):
-                n_words, spans, items = _search_shard(*text_bytes(b.column(1)), p)
+                n_words, spans, items = _search(*text_bytes(b.column(1)), p, shard_bytes)
                 old_spans, old_items = b.column(3), b.column(4)
                 if old_spans.null_count < len(old_spans):
                     spans = [merge_spans([tuple(x.values()) for x in o or []], s) for o, s in zip(old_spans.to_pylist(), spans, strict=True)]
@@ -261,6 +262,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
                 )
 
         out = out.mapInArrow(run, out.schema)
+        if k % CHAINED == CHAINED - 1 and k + 1 < n_blocks:
+            out = Scratch(spark, "contamination").save(out, "spans")
     return out.select("__row.*", *names)
 
 

@@ -10,11 +10,13 @@ of them probes the other's list whatever the vectors' distribution. A link count
 probe. A block of links leaves as a spanning star of each of its components, never as all pairs.
 
 A list with many members or queries is split in blocks of ``BLOCK`` on both sides; no group of vectors is
-gathered whole. The index is fitted on at most ``SAMPLE_BYTES`` of vectors, those with the smallest hash.
+gathered whole. The index is fitted on at most ``SAMPLE_BYTES`` of vectors, those with the smallest hash; the number
+of lists grows with the root of the table's size. Vectors of another length than the commonest take part in it
+with their first components or padded with zeros, which brings no two of them further apart, so the bounds hold.
+Single-precision components travel as such and are compared in double precision.
 
 Edge cases: a vector that is null, empty, zero or has null or non-finite components, and one whose label is
-null, links with nothing: n_links 0, itself as component, kept. Vectors of other lengths than the index's
-are compared without it, exactly. A null vec_id has a null component and is kept; repeated ids share the
+null, links with nothing: n_links 0, itself as component, kept. Vectors of different lengths never link. A null vec_id has a null component and is kept; repeated ids share the
 links of their vectors. Extra columns are not read.
 """
 
@@ -25,11 +27,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm.stream import groups
 from strandline.llm.work import Scratch, components, lean
 
-SAMPLE_BYTES, MAX_LISTS, BLOCK, CODEBOOK, SUB_DIM = 16 << 20, 4096, 2048, 64, 8
+SAMPLE_BYTES, MAX_LISTS, BLOCK, CODEBOOK, SUB_DIM = 32 << 20, 8192, 2048, 64, 8
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -90,8 +93,8 @@ class Index:
 _VEC = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("dim", pa.int64()), ("vec", pa.binary())])
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, vec): the components as doubles, null if the vector can't link."""
+def _vectors(df: DataFrame, kind: str) -> DataFrame:
+    """(vec_id, label, dim, vec): the components' bytes, null if the vector can't link."""
 
     @lean
     def run(batches):
@@ -105,16 +108,21 @@ def _vectors(df: DataFrame) -> DataFrame:
                     n2 = float(x @ x) if np.isfinite(x).all() else 0.0
                     if not (n2 > 0 and np.isfinite(n2)):
                         x = None
-                out.append(None if x is None else x.tobytes())
+                out.append(None if x is None else x.astype(kind).tobytes())
                 dims.append(0 if x is None else len(x))
             yield pa.RecordBatch.from_arrays([b.column(0), labels, pa.array(dims, pa.int64()), pa.array(out, pa.binary())], schema=_VEC)
 
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label")).mapInArrow(run, "vec_id long, label long, dim long, vec binary")
 
 
-def _unit(table: pa.Table, name: str = "vec") -> np.ndarray:
-    x = np.stack([np.frombuffer(v) for v in table[name].to_pylist()])
-    return x
+def _doubles(table: pa.Table, kind: str) -> np.ndarray:
+    return np.stack([np.frombuffer(v, kind) for v in table["vec"].to_pylist()]).astype(np.float64)
+
+
+def _in_index(x: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors of any length in the index's space."""
+    x = x / np.sqrt((x * x).sum(1))[:, None]
+    return np.ascontiguousarray(x[:, :dim]) if x.shape[1] >= dim else np.pad(x, ((0, 0), (0, dim - x.shape[1])))
 
 
 _PLACED = pa.schema([("label", pa.int64()), ("dim", pa.int64()), ("list", pa.int64()), ("role", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("miss", pa.float64()), ("home", pa.int64()), ("probed", pa.binary()), ("vec", pa.binary())])
@@ -125,15 +133,17 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``embeddings(vec_id, embedding, label)``."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "embeddings")
-    vecs = scratch.save(_vectors(embeddings).withColumn("key", F.sha2("vec", 256)), "vectors")
+    kind = "<f4" if isinstance(embeddings.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+    vecs = scratch.save(_vectors(embeddings, kind).withColumn("key", F.sha2("vec", 256)), "vectors")
     reps = scratch.save(vecs.where("vec is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "distinct")
-    shape = reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not shape:
+    shape = reps.groupBy("dim").agg(F.count("*").alias("n"))
+    shape = shape.agg(F.sum("n").alias("n"), F.max_by("dim", F.struct("n", "dim")).alias("dim")).first()
+    dim, total = shape["dim"], shape["n"]
+    if not total:
         return vecs.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, total = shape[0]["dim"], shape[0]["n"]
-    sample = reps.where(F.col("dim") == dim).orderBy("key", "label").limit(max(256, min(20_000, SAMPLE_BYTES // (8 * dim)))).select("vec").toArrow()
-    x = _unit(sample)
-    x = x / np.sqrt((x * x).sum(1))[:, None]
+    wanted = max(256, min(SAMPLE_BYTES // (8 * dim), int(32 * np.sqrt(total))))
+    sample = reps.where(F.col("dim") <= 2 * dim).orderBy("key", "label", "dim").limit(wanted).select("dim", "vec").toArrow()
+    x = np.concatenate([_in_index(_doubles(sample.filter(pc.equal(sample["dim"], d)), kind), dim) for d in sorted(set(sample["dim"].to_pylist()))])
     index = spark.sparkContext.broadcast(Index(x, int(max(1, min(MAX_LISTS, len(x) // 4, np.sqrt(total))))))
     radius = float(np.sqrt(2 - 2 * threshold)) + 1e-6
 
@@ -142,24 +152,18 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
         ix = index.value
         for b in batches:
             t = pa.Table.from_batches([b])
-            for is_main in (True, False):
-                part = t.filter(pc.equal(t["dim"], dim) if is_main else pc.not_equal(t["dim"], dim))
-                if not part.num_rows:
-                    continue
+            for d in sorted(set(t["dim"].to_pylist())):
+                part = t.filter(pc.equal(t["dim"], d))
                 n = part.num_rows
-                if is_main:
-                    x = _unit(part)
-                    x = x / np.sqrt((x * x).sum(1))[:, None]
-                    own, codes, miss = ix.encode(x)
-                    probes = ix.probes(x, own, radius)
-                else:
-                    own, codes, miss, probes = np.zeros(n, np.int64), None, np.zeros(n), [np.zeros(1, np.int64)] * n
+                x = _in_index(_doubles(part, kind), dim)
+                own, codes, miss = ix.encode(x)
+                probes = ix.probes(x, own, radius)
                 at = np.repeat(np.arange(n), [len(p) for p in probes])
                 take = np.concatenate([np.arange(n), at])
                 rows = part.take(pa.array(take))
                 lists = np.concatenate([own, *probes]).astype(np.int64)
                 role = np.concatenate([np.zeros(n, np.int64), np.ones(len(at), np.int64)])
-                coded = [c.tobytes() for c in codes] if codes is not None else [b""] * n
+                coded = [c.tobytes() for c in codes]
                 probed = [p.astype(np.int32).tobytes() for p in probes]
                 is_member = (role == 0).tolist()
                 yield from pa.Table.from_arrays(
@@ -186,20 +190,16 @@ def link(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
             m, q = g.filter(pa.array(role == 0)), g.filter(pa.array(role == 1))
             if not m.num_rows or not q.num_rows:
                 continue
-            mx, mid, mn = _unit(m), m["rep"].to_numpy(), m["n"].to_numpy()
+            mx, mid, mn = _doubles(m, kind), m["rep"].to_numpy(), m["n"].to_numpy()
             mlen = np.sqrt((mx * mx).sum(1))
-            coded = m["codes"][0].as_py()
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in m["codes"].to_pylist()]) if coded else None
+            codes = np.stack([np.frombuffer(c, np.uint8) for c in m["codes"].to_pylist()])
             miss = m["miss"].to_numpy()
-            qx, qid, qn, home = _unit(q), q["rep"].to_numpy(), q["n"].to_numpy(), q["home"].to_numpy()
+            qx, qid, qn, home = _doubles(q, kind), q["rep"].to_numpy(), q["n"].to_numpy(), q["home"].to_numpy()
             qlen = np.sqrt((qx * qx).sum(1))
-            lst = g["list"][0].as_py()
+            lst, qz = g["list"][0].as_py(), _in_index(qx, dim)
             linked = np.zeros((len(qid), len(mid)), bool)
             for i in range(0, len(qid), 512):
-                if codes is not None:
-                    may = ix.distances(qx[i : i + 512] / qlen[i : i + 512, None], lst, codes) <= radius + miss
-                else:
-                    may = np.ones((len(qx[i : i + 512]), len(mid)), bool)
+                may = ix.distances(qz[i : i + 512], lst, codes) <= radius + miss
                 a, b = np.nonzero(may)
                 for j in range(0, len(a), 1 << 16):
                     u, v = a[j : j + (1 << 16)] + i, b[j : j + (1 << 16)]

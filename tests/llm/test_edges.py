@@ -308,6 +308,59 @@ def test_urls_odd(spark):
     assert url_filter.filter_urls(pages.where("false"), rules).count() == 0
 
 
+def test_long_document_in_pieces():
+    """A document searched in pieces has the spans and items of the whole."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = " ".join(r.choice(["ab", "c", "ab", "é", "long" * 9]) + r.choice(["", ".", " "]) for _ in range(9000))
+    w = text.replace(".", " ").split()
+    item = [" ".join(w[i : i + 20]) for i in (5, 1000, 1012, 4000, 8970)] + ["c"]
+    p = contamination.Phrases([str(i) for i in range(6)], pa.array(item), 13)
+    data, off = contamination.text_bytes(pa.array([text]))
+    n, spans, items = contamination._search_shard(data, off, p)
+    assert len(spans[0]) > 100 and len(items[0]) == 6
+    for size in (300, 4000):
+        n2, spans2, items2 = contamination._search(data, off, p, size)
+        assert (n2.tolist(), [tuple(x) for x in spans2[0]], items2) == (n.tolist(), [tuple(x) for x in spans[0]], items)
+
+
+def test_suffix_pieces():
+    """The pieces of a long chunk have each window once, and none across documents."""
+    n = 2 * suffix_dedup.CHUNK
+    data = np.random.default_rng(1).integers(0, 255, 3 * n + 150, np.uint8)
+    off = np.array([0, 100, 100, n + 300, 3 * n, 3 * n + 150])
+    seen = np.zeros(len(data), int)
+    for at, part, bounds in suffix_dedup.pieces(data, off, 200):
+        assert (part == data[at : at + len(part)]).all()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            seen[at + a : max(at + a, at + b - 199)] += 1
+    want = np.zeros(len(data), int)
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        want[a : max(a, b - 199)] = 1
+    assert (seen == want).all()
+
+
+def test_urls_ties_and_names(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/abcd", "p", "q"), (2, "http://q.org/", "p", "q")], "page_id long, url string, row string, whole string")
+    rules = spark.createDataFrame([("org", "/abcd", "allow"), ("x.org", "/ab", "block"), ("Q.ORG", "", "block")], "host string, path string, verdict string")
+    got = sorted(map(tuple, url_filter.filter_urls(pages, rules).select("page_id", "row", "whole", "rule", "verdict").collect()))
+    assert got == [(1, "p", "q", "x.org/ab", "block"), (2, "p", "q", "q.org", "block")]  # as long, and a longer host
+    same = spark.createDataFrame([("org", "/abcd", "allow"), ("x.org", "/abx", "block"), ("x.org", "/abc", "allow"), ("org", "/abcdxx", "block")], "host string, path string, verdict string")
+    assert url_filter.filter_urls(pages, same).where("page_id = 1").select("rule", "verdict").first() == ("x.org/abc", "allow")
+
+
+def test_urls_long_list(spark):
+    """Whether the list has a thousand rules or many more, the verdicts are those of the plain join."""
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('http://h', id % 700, '.net/p', id) as url")
+    for n in (1000, 60_000):
+        rules = spark.range(n).selectExpr("concat('h', id, '.net') as host", "concat('/p', id) as path", "'block' as verdict")
+        got = url_filter.filter_urls(pages, rules)
+        want = pages.where(f"exists(sequence(0, 0), x -> page_id % 700 < {n} and startswith(concat('p', page_id), concat('p', page_id % 700)))").count()
+        assert got.where("verdict = 'block'").count() == want
+        assert got.count() == 3000
+
+
 def test_html_odd(spark):
     menu = "<div>Home | News | About us</div>"
     foot = "<p>All rights of this page belong to nobody at all</p>"
