@@ -40,6 +40,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    import strandline.plans.catalog_formats
     import strandline.plans.catalog_more
     import strandline.plans.catalog_rest  # noqa: F401
 
@@ -47,6 +48,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    import strandline.plans.catalog_formats
     import strandline.plans.catalog_more
     import strandline.plans.catalog_rest  # noqa: F401
 

@@ -8,6 +8,7 @@ formats ask and give back one blob for each group.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 from collections.abc import Callable, Iterable
@@ -16,9 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandline.functions.chunks import FormatError
+from strandline.functions.chunks import MAGIC, FormatError, read_container
 from strandline.functions.hashes import lookup3
 from strandline.functions.priority import TAG_TYPES
 
@@ -183,7 +185,9 @@ def _pages(entries: list[tuple[bytes, bytes]], size: int) -> tuple[bytes, bytes,
 
 
 def parse_encoding(data: bytes) -> dict:
-    """SRC-16, 18; VAL-03; SCL-14: pages are checked against their MD5."""
+    """SRC-16..18; VAL-03; SCL-14: pages are checked against their MD5. A chunk container is unpacked first."""
+    if data[:4] == MAGIC:
+        data = read_container(data)
     r = _In(data)
     if r.take(2) != b"EN":
         raise FormatError("not an encoding table")
@@ -363,9 +367,14 @@ def _location(archive: int, offset: int) -> bytes:
 
 
 def parse_log(data: bytes) -> list[tuple]:
-    """SRC-37, VAL-14: (seq, ekey9, archive, offset, size, status) of 512-byte pages of 21 records; a bad guard ends a page."""
+    """SRC-37, VAL-14: (seq, ekey9, archive, offset, size, status) of 512-byte pages of 21 records.
+
+    A record without a guard ends its page, an all-zero page the log; a wrong guard is an error.
+    """
     raws = []
     for p in range(0, len(data) - 511, 512):
+        if not any(data[p : p + 512]):
+            break
         for i in range(21):
             raw = data[p + 24 * i : p + 24 * i + 24]
             if not any(raw[:4]):
@@ -452,25 +461,29 @@ FORMATS: dict[str, tuple[T.StructType, Callable[[bytes], list[tuple]]]] = {
 }
 
 
-def read(spark: SparkSession, kind: str, path: str, glob: str = "*") -> DataFrame:
-    """Rows of all files of a format, with ``doc``; a broken file stops the query."""
+def rows(blobs: DataFrame, kind: str) -> DataFrame:
+    """Rows of a format's blobs (doc, content), with ``doc``; a broken blob stops the query."""
     import pyarrow as pa
 
     schema, parse = FORMATS[kind]
-    full = T.StructType([T.StructField("doc", T.StringType()), *schema.fields])
+    full = T.StructType([blobs.schema["doc"], *schema.fields])
     arrow = to_arrow_schema(full)
 
     def run(batches):
         for b in batches:
             for doc, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = parse(blob)
-                for i in range(0, len(rows), 10_000):
-                    part = rows[i : i + 10_000]
+                found = parse(blob)
+                for i in range(0, len(found), 10_000):
+                    part = found[i : i + 10_000]
                     cols = list(zip(*part, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(part)), *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:], strict=True)]], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(part), arrow.field(0).type), *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:], strict=True)]], schema=arrow)
+
+    return blobs.select("doc", "content").mapInArrow(run, full)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return files.mapInArrow(run, full)
+
+def read(spark: SparkSession, kind: str, path: str, glob: str = "*") -> DataFrame:
+    """Rows of all files of a format, with ``doc``; a broken file stops the query."""
+    return rows(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.col("path").alias("doc"), "content"), kind)
 
 
 def build_groups(df: DataFrame, by: list[str], order: list[str], build: Callable[[list[dict]], bytes]) -> DataFrame:
@@ -490,3 +503,106 @@ def build_groups(df: DataFrame, by: list[str], order: list[str], build: Callable
 def read_slices(blobs: DataFrame, requests: DataFrame, doc: str = "doc") -> DataFrame:
     """SRC-25, 39, 40, 51..53, 64: the bytes of requests (doc, offset, size) out of whole blobs (doc, content)."""
     return requests.join(blobs.select(doc, "content"), doc).select(*requests.columns, F.substring("content", F.col("offset").cast("int") + 1, F.col("size").cast("int")).alias("data"))
+
+
+def read_ranges(requests: DataFrame, path: str = "path", offset: str = "offset", size: str = "size") -> DataFrame:
+    """SRC-25, 39, 40, 51..53, 64 for archives of any size: the task opens each file and reads the asked ranges only.
+
+    Requests come file by file in the order of their offsets. ``path`` is a file on a folder that the executors
+    have mounted; a range beyond the file's end gives the bytes that are there.
+    """
+    import pyarrow as pa
+
+    schema = T.StructType([*requests.schema.fields, T.StructField("data", T.BinaryType())])
+    at = [requests.columns.index(c) for c in (path, offset, size)]
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        name, f = None, None
+        try:
+            for b in batches:
+                data = []
+                for p, o, n in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+                    if p != name:
+                        if f:
+                            f.close()
+                        name, f = p, open(p.removeprefix("file://").removeprefix("file:"), "rb")
+                    f.seek(o)
+                    data.append(f.read(n))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], schema=arrow)
+        finally:
+            if f:
+                f.close()
+
+    dealt = requests.repartition(path, F.floor(F.col(offset) / (1 << 28))).sortWithinPartitions(path, offset)
+    return dealt.mapInArrow(run, schema)
+
+
+class PagedIndex(DataSource):
+    """SRC-23: ``spark.read.format("pagedindex").load(path)``: an index read page by page.
+
+    The footer and the table of last keys are read at planning. A partition is a run of pages; with
+    ``spark.sql.python.filterPushdown.enabled``, an equality on ``ekey`` leaves the one page that may hold it.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "pagedindex"
+
+    def schema(self) -> T.StructType:
+        return FORMATS["cdn_index"][0]
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _PagedReader(self.options["path"].removeprefix("file://").removeprefix("file:"))
+
+
+class _Pages(InputPartition):
+    def __init__(self, first: int, last: int):
+        super().__init__((first, last))
+        self.first, self.last = first, last
+
+
+class _PagedReader(DataSourceReader):
+    RUN = 256
+
+    def __init__(self, path: str):
+        self.path, self.keys = path, None
+        with open(path, "rb") as f:
+            size = f.seek(0, 2)
+            f.seek(max(0, size - 28))
+            foot = f.read()
+            if len(foot) < 28 or foot[-13] != 8 or foot[11] != 4 or foot[13] != 4:
+                raise FormatError("not an index")
+            self.w_off, self.w_key = foot[12], foot[14]
+            (self.count,) = struct.unpack_from("<I", foot, 16)
+            self.width = self.w_key + 4 + self.w_off
+            self.per = PAGE // self.width
+            pages = -(-self.count // self.per)
+            f.seek(pages * PAGE)
+            raw = f.read(pages * self.w_key)
+            self.last = [raw[i : i + self.w_key] for i in range(0, len(raw), self.w_key)]
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("ekey",) and isinstance(f.value, (bytes, bytearray)):
+                self.keys = [bytes(f.value)]
+            yield f  # checked again on the rows
+
+    def partitions(self):
+        if self.keys is not None:
+            at = sorted({bisect.bisect_left(self.last, k) for k in self.keys})
+            return [_Pages(p, p + 1) for p in at if p < len(self.last)] or [_Pages(0, 0)]
+        return [_Pages(p, min(p + self.RUN, len(self.last))) for p in range(0, len(self.last), self.RUN)] or [_Pages(0, 0)]
+
+    def read(self, partition):
+        with open(self.path, "rb") as f:
+            f.seek(partition.first * PAGE)
+            for p in range(partition.first, partition.last):
+                page = f.read(PAGE)
+                for i in range(self.per):
+                    raw = page[i * self.width : (i + 1) * self.width]
+                    if not any(raw):
+                        break
+                    off = int.from_bytes(raw[self.w_key + 4 :], "big")
+                    group = self.w_off == 6
+                    yield p * self.per + i, raw[: self.w_key], int.from_bytes(raw[self.w_key : self.w_key + 4], "big"), off & 0xFFFFFFFF if group else off, off >> 32 if group else None

@@ -214,6 +214,20 @@ def read_builds(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.when(build_valid(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a bad build record at "), F.col("pos").cast("string")))))
 
 
+def product_config_json(product: Column) -> Column:
+    """SNK-35: a product's configuration as indented JSON, from a struct of its ``uid`` and ``dir``."""
+    doc = F.struct(F.struct(F.struct(product["uid"].alias("product"), F.struct(F.struct(product["dir"].alias("dirname")).alias("game_dir")).alias("form")).alias("config")).alias("all"))
+    return F.to_json(doc, {"pretty": "true"})
+
+
+def read_product_configs(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-11: (doc, product_uid, document) of JSON documents, one a file; one that is no JSON object stops the query."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("document"))
+    whole = F.from_json("document", "map<string,string>").isNotNull() & F.get_json_object("document", "$.all.config").isNotNull()
+    checked = raw.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a bad product configuration: "), F.col("doc")))))
+    return checked.select("doc", F.get_json_object("document", "$.all.config.product").alias("product_uid"), "document")
+
+
 REGIONS = ["us", "eu", "cn", "kr", "tw", "sg", "xx"]
 VERSIONS = [("Region", "STRING"), ("BuildConfig", "HEX"), ("CDNConfig", "HEX"), ("KeyRing", "HEX"), ("BuildId", "DEC"), ("VersionsName", "STRING"), ("ProductConfig", "HEX")]
 
