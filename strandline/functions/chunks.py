@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.hashes import arc4, salsa20
+from strandline.functions.suffixes import longest_matches
 
 # Magic bytes, chunk modes, cipher letters, limits.
 MAGIC = b"BLTE"
@@ -260,43 +261,25 @@ def delta_chunked(old: bytes, new: bytes, size: int = 1 << 16) -> bytes:
 
 
 def delta_suffix(old: bytes, new: bytes, least: int = 16) -> bytes:
-    """SNK-36, SCL-30: matches found in the suffix order of the old data, greedy from left to right."""
-    sa = sorted(range(len(old)), key=lambda i: old[i : i + 64]) if len(old) < 1 << 12 else np.argsort(np.array([old[i : i + 64].ljust(64, b"\0") for i in range(len(old))])).tolist()
-    keys = [old[i : i + 64] for i in sa]
-    from bisect import bisect_left
-
-    def longest(at: int) -> tuple[int, int]:
-        want = new[at : at + 64]
-        k = bisect_left(keys, want)
-        best = (0, 0)
-        for j in (k - 1, k, k + 1):
-            if 0 <= j < len(sa):
-                p, n = sa[j], 0
-                while at + n < len(new) and p + n < len(old) and new[at + n] == old[p + n]:
-                    n += 1
-                best = max(best, (n, p))
-        return best
-
+    """SNK-36, SCL-30: the longest matches by the suffix order of both, greedy from left to right."""
     steps, diff, extra = [], bytearray(), bytearray()
-    at, wait = 0, bytearray()
+    size, place = longest_matches(old, new)
+    good = np.flatnonzero(size >= least)
+    at = k = 0
     runs: list[tuple[int, int, bytes]] = []  # old position, length, the extra bytes before
-    while at < len(new):
-        n, p = longest(at)
-        if n >= least:
-            runs.append((p, n, bytes(wait)))
-            wait.clear()
-            at += n
-        else:
-            wait.append(new[at])
-            at += 1
+    while (k := k + int(np.searchsorted(good[k:], at))) < len(good):
+        i = int(good[k])
+        runs.append((int(place[i]), int(size[i]), new[at:i]))
+        at = i + int(size[i])
+    wait = new[at:]
     # a step is a difference and then extra bytes; its seek leads to the next difference
-    lead = runs[0][2] if runs else bytes(wait)
+    lead = runs[0][2] if runs else wait
     if not runs:
         return delta_simple(old, new)
     steps.append((0, len(lead), runs[0][0]))
     extra += lead
     for i, (p, n, _) in enumerate(runs):
-        after = runs[i + 1][2] if i + 1 < len(runs) else bytes(wait)
+        after = runs[i + 1][2] if i + 1 < len(runs) else wait
         nxt = runs[i + 1][0] if i + 1 < len(runs) else p + n
         diff += bytes(n)
         extra += after

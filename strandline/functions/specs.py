@@ -8,6 +8,7 @@ in K or M. A tree comes out flat: one row for each node, with its path from the
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -157,6 +158,7 @@ def valid(text: str) -> bool:
     return True
 
 
+@lru_cache(maxsize=4096)
 def _or_none(text):
     try:
         return None if text is None else [tuple(n.values()) for n in parse(text)]
@@ -171,7 +173,7 @@ def nodes_column(spec: Column) -> Column:
 
 def valid_column(spec: Column) -> Column:
     """FLT-45."""
-    return F.udf(lambda s: s is not None and valid(s), T.BooleanType(), useArrow=True)(spec)
+    return F.udf(lambda s: _or_none(s) is not None, T.BooleanType(), useArrow=True)(spec)
 
 
 def kind(spec: Column) -> Column:

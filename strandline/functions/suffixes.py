@@ -58,22 +58,13 @@ def suffix_array(seq: np.ndarray, ranks: list[tuple[int, np.ndarray]] | None = N
         h *= 2
 
 
-def common_prefixes(seq: np.ndarray, sa: np.ndarray, ranks: list[tuple[int, np.ndarray]], least: int = 1) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in suffix order; those under ``least`` may be 0."""
-    n = len(sa)
-    out = np.zeros(n, np.int64)
-    if n < 2:
-        return out
-    first = [r for h, r in ranks if h <= least]
-    todo = np.arange(1, n)
-    if first:
-        todo = todo[first[-1][sa[1:]] == first[-1][sa[:-1]]]
-    a, b, length = sa[todo - 1], sa[todo], np.zeros(len(todo), np.int64)
+def pair_prefixes(seq: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at ``a`` and ``b``, pair by pair; no pair may be of equals."""
+    length = np.zeros(len(a), np.int64)
     for h, r in reversed(ranks):
         length += np.where(r[a + length] == r[b + length], h, 0)
-    step = ranks[0][0]
-    open_ = np.arange(len(todo))
-    for _ in range(step - 1):  # fewer numbers than the first round packs
+    open_, n = np.arange(len(a)), len(seq)
+    for _ in range(ranks[0][0] - 1):  # fewer numbers than the first round packs
         x, y = a[open_] + length[open_], b[open_] + length[open_]
         inside = (x < n) & (y < n)
         same = np.zeros(len(open_), bool)
@@ -82,7 +73,20 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, ranks: list[tuple[int, np.n
         if not len(open_):
             break
         length[open_] += 1
-    out[todo] = length
+    return length
+
+
+def common_prefixes(seq: np.ndarray, sa: np.ndarray, ranks: list[tuple[int, np.ndarray]], least: int = 1) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it in suffix order; those under ``least`` may be 0."""
+    n = len(sa)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    first = [r for h, r in ranks if h <= least]
+    todo = np.arange(1, n)
+    if first:
+        todo = todo[first[-1][sa[1:]] == first[-1][sa[:-1]]]
+    out[todo] = pair_prefixes(seq, ranks, sa[todo - 1], sa[todo])
     return out
 
 
@@ -109,3 +113,24 @@ def previous_factors(sa: np.ndarray, prefixes: np.ndarray, place: np.ndarray, le
     out = np.empty(n, np.int64)
     out[sa] = best
     return out
+
+
+def longest_matches(old: bytes, new: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each position of ``new``, the length and the place in ``old`` of the longest match that starts there."""
+    seq = np.concatenate([np.frombuffer(old, np.uint8).astype(np.int64) + 1, [0], np.frombuffer(new, np.uint8).astype(np.int64) + 1, [0]])
+    ranks: list = []
+    sa = suffix_array(seq, ranks)
+    n = len(seq)
+    is_old = sa < len(old)
+    before = np.maximum.accumulate(np.where(is_old, np.arange(n), -1))
+    after = np.minimum.accumulate(np.where(is_old, np.arange(n), n)[::-1])[::-1]
+    mine = np.flatnonzero((sa > len(old)) & (sa < n - 1))
+    size, place = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+    for beside, ok in ((before, before[mine] >= 0), (after, after[mine] < n)):
+        k = mine[ok]
+        at, other = sa[k], sa[beside[k]]
+        length = pair_prefixes(seq, ranks, at, other)
+        at = at - len(old) - 1
+        better = length > size[at]
+        size[at[better]], place[at[better]] = length[better], other[better]
+    return size, place

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one side of a lookup may have to be broadcast without a look at its size in bytes.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which one side of a lookup is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast if it has at most ``rows`` rows (counted, without reading more)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame, marked for broadcast if it has at most so many rows and bytes (as text; no more than ``rows`` + 1 are looked at)."""
+    seen = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= rows and seen["b"] <= size else df
 
 
 def first_match(requests: DataFrame, table: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column | None = None, how: str = "inner") -> DataFrame:

@@ -22,10 +22,9 @@ def root_by_path(requests: DataFrame, root: DataFrame, locale: int, content: int
 
     Any shared bit fits a locale; all bits asked for fit the content flags. Paths without a match have a null key.
     """
-    fits = (F.col("locale_flags").bitwiseAND(F.lit(locale)) != 0) & (F.col("content_flags").bitwiseAND(F.lit(content)) == content)
     asked = requests.withColumn("name_hash", path_hash(PA.normalized(F.col(path))))
     table = root.where(F.col("name_hash").isNotNull()).select("name_hash", "ckey", "fdid", "version", "block", "pos", "locale_flags", "content_flags")
-    return first_match(asked, table, ["name_hash"], ["block", "pos"], fits, "left").drop("name_hash", "version", "block", "pos", "locale_flags", "content_flags")
+    return first_match(asked, table, ["name_hash"], ["block", "pos"], fits(F.col("locale_flags"), F.col("content_flags"), locale, content), "left").drop("name_hash", "version", "block", "pos", "locale_flags", "content_flags")
 
 
 def encoding_key(requests: DataFrame, enc_ckey: DataFrame, ckey: str = "ckey") -> DataFrame:
@@ -51,7 +50,27 @@ def same_content(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("same", F.coalesce(F.col(a) == F.col(b), F.lit(False)))
 
 
-# --- filters ----------------------------------------------------------------------------------------------------
+# --- flags and filters ----------------------------------------------------------------------------------------------------
+
+
+def any_flag(flags: Column, mask: int) -> Column:
+    """FLT-01, 04: does a row share a bit with the mask (locales; a single flag)?"""
+    return flags.bitwiseAND(F.lit(mask)) != 0
+
+
+def all_flags(flags: Column, mask: int) -> Column:
+    """FLT-02: has a row all bits of the mask (content)?"""
+    return flags.bitwiseAND(F.lit(mask)) == mask
+
+
+def fits(locale_flags: Column, content_flags: Column, locale: int, content: int) -> Column:
+    """FLT-03: any of the locale's bits and all of the content's."""
+    return any_flag(locale_flags, locale) & all_flags(content_flags, content)
+
+
+def has_names(content_flags: Column) -> Column:
+    """FLT-05: does a block keep name hashes? The bit says that it does not."""
+    return ~any_flag(content_flags, 1 << 28)
 
 
 def has_file(bridge: DataFrame, tag: str, files: DataFrame) -> DataFrame:

@@ -153,14 +153,9 @@ def essential_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PRICED + " SELECT idx, CAST(eff AS INT) AS eff, category, size, CAST(row_number() OVER (ORDER BY eff, idx) AS BIGINT) AS place FROM c WHERE eff <= 3 AND category IN ('Critical', 'Essential', 'Normal')")
 def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ORD-02..05. The place in the plan comes from the sorted partitions, not from one global window."""
+    """ORD-02..05. Places come from counts of runs, not from one global window."""
     plan = O.download_plan(_priced(spark, sf_dir), 3, ["Critical", "Essential", "Normal"]).select("idx", "eff", "category", "size")
-    counts = plan.groupBy("eff").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.eff") < F.col("a.eff"), "left").groupBy("a.eff").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    from pyspark.sql import Window
-
-    ranked = plan.withColumn("k", F.row_number().over(Window.partitionBy("eff").orderBy("idx")))
-    return ranked.join(F.broadcast(before), "eff").select("idx", "eff", "category", "size", (F.col("before") + F.col("k")).cast("long").alias("place"))
+    return O.with_place(plan).select("idx", "eff", "category", "size", "place")
 
 
 @query(_PRICED + " SELECT category, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM c WHERE eff <= 0 GROUP BY category")
@@ -390,25 +385,12 @@ def coalescing_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.coalescing_gain(s, W.coalesce_ranges(s, ["user_id"], 600)).select(F.round("request_reduction", 9).alias("request_reduction"), F.round("byte_efficiency", 9).alias("byte_efficiency"))
 
 
-@query("""
-WITH log AS (SELECT l_orderkey AS k, (l_linenumber * 1000000 + l_partkey) * 2 + CAST(l_linestatus = 'F' AS INT) AS seq, CASE WHEN l_linestatus = 'F' AND l_linenumber % 2 = 0 THEN 'Delete' ELSE 'Normal' END AS status, CAST(l_partkey AS BIGINT) AS v FROM lineitem WHERE l_orderkey % 3 = 0),
-u AS (SELECT o_orderkey AS k, -1 AS seq, 'Normal' AS status, CAST(o_custkey AS BIGINT) AS v FROM orders UNION ALL SELECT * FROM log)
-SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM u) WHERE r = 1 AND status <> 'Delete'
-""")
-def lsm_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-06, JN-18: the base overlaid by its log, tombstones removed."""
-    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("long").alias("v"))
-    dead = (F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 2 == 0)
-    log = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("k"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 2 + (F.col("l_linestatus") == "F").cast("int")).alias("seq"), F.when(dead, "Delete").otherwise("Normal").alias("status"), F.col("l_partkey").cast("long").alias("v"))
-    return M.log_view(base, log, ["k"])
-
-
 @query("""
 WITH log AS (SELECT l_orderkey AS k, (l_linenumber * 1000000 + l_partkey) * 2 + CAST(l_linestatus = 'F' AS INT) AS seq, CASE WHEN l_linestatus = 'F' AND l_linenumber % 2 = 0 THEN 'Delete' ELSE 'Normal' END AS status, CAST(l_partkey AS BIGINT) AS v FROM lineitem),
 u AS (SELECT o_orderkey AS k, -1 AS seq, 'Normal' AS status, CAST(o_custkey AS BIGINT) AS v FROM orders UNION ALL SELECT * FROM log)
 SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM u) WHERE r = 1 AND status <> 'Delete'
 """)
-def lsm_view_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lsm_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-06, JN-18 over the whole table."""
     base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("long").alias("v"))
     dead = (F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 2 == 0)

@@ -14,6 +14,7 @@ from strandline.operators import aggregates as A
 from strandline.operators import folds as W
 from strandline.operators import lookups as J
 from strandline.operators import merges as M
+from strandline.operators import tables as TB
 from strandline.operators import topk as O
 from strandline.plans.catalog import query, table
 from strandline.streaming import state as ST
@@ -72,8 +73,7 @@ SELECT o_orderkey, (o_orderkey & 12) <> 0 AS any_bit, (o_orderkey & 5) = 5 AS al
 def flag_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-01..05."""
     k = F.col("o_orderkey")
-    any_bit, all_bits = k.bitwiseAND(12) != 0, k.bitwiseAND(5) == 5
-    return table(spark, sf_dir, "orders").select("o_orderkey", any_bit.alias("any_bit"), all_bits.alias("all_bits"), (k.bitwiseAND(8) != 0).alias("one"), (k.bitwiseAND(1 << 28) == 0).alias("named"), (any_bit & all_bits).alias("both"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", TB.any_flag(k, 12).alias("any_bit"), TB.all_flags(k, 5).alias("all_bits"), TB.any_flag(k, 8).alias("one"), TB.has_names(k).alias("named"), TB.fits(k, k, 12, 5).alias("both"))
 
 
 @query("""
@@ -88,19 +88,10 @@ def range_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", R.length(s, e).alias("n"), R.overlaps(s, e, a, b).alias("hit"), R.adjacent(s, e, a, b).alias("touch"), R.gap(s, e, a, b).alias("gap"), R.inside(s, e, F.lit(4000)).alias("inside"), m["start"].alias("m_start"), m["end"].alias("m_end"))
 
 
-@query("""
-SELECT user_id, 'bytes=' || string_agg(s || '-' || e, ', ' ORDER BY s, e) AS header FROM (SELECT user_id, event_id * 10 AS s, event_id * 10 + 5 AS e FROM events WHERE event_id < 500) GROUP BY user_id
-""")
-def range_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-29: a header for a bounded request list of each user."""
-    r = table(spark, sf_dir, "events").where("event_id < 500").select("user_id", F.struct((F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + 5).alias("end")).alias("r"))
-    return r.groupBy("user_id").agg(R.header_value(F.array_sort(F.collect_list("r"))).alias("header"))
-
-
 @query("""
 SELECT user_id, 'bytes=' || string_agg(s || '-' || e, ', ' ORDER BY s, e) AS header FROM (SELECT user_id, event_id * 10 AS s, event_id * 10 + 5 AS e FROM events) GROUP BY user_id
 """)
-def range_header_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def range_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-29 over the whole table."""
     r = table(spark, sf_dir, "events").select("user_id", F.struct((F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + 5).alias("end")).alias("r"))
     return r.groupBy("user_id").agg(R.header_value(F.array_sort(F.collect_list("r"))).alias("header"))
@@ -180,21 +171,13 @@ def remove_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.without_prefix(o, short, "key").select("o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey < 50 EXCEPT SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_suppkey % 2 = 0")
-def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-04, 05, 26 as set operations on rows."""
-    li = table(spark, sf_dir, "lineitem")
-    cols = ("l_orderkey", "l_linenumber", "l_partkey")
-    return li.where("l_partkey < 50").select(*cols).exceptAll(li.where("l_suppkey % 2 = 0").select(*cols)).distinct().join(li.where("l_suppkey % 2 = 0").select(*cols).distinct(), list(cols), "left_anti")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_suppkey % 2 = 0")
-def set_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-04, 05, 26 over the whole table."""
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-14, 26: rows whose keys are not among others."""
     li = table(spark, sf_dir, "lineitem")
     cols = ("l_orderkey", "l_linenumber", "l_partkey")
     even = li.where("l_suppkey % 2 = 0").select(*cols)
-    return li.select(*cols).exceptAll(even).distinct().join(even.distinct(), list(cols), "left_anti")
+    return M.without(li.select(*cols).distinct(), even, cols)
 
 
 @query("SELECT user_id, event_id, max(v) OVER w AS peak, avg(v) OVER w AS mean FROM (SELECT *, CAST(floor(value * 1000) AS BIGINT) AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
@@ -305,7 +288,7 @@ def root_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-32."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    return A.block_stats(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
 @query("""

@@ -153,3 +153,24 @@ def test_hash_columns(spark):
     assert got[0][0] == got[1][0] is not None
     assert got[2] == (None, None)
     assert one(spark, "x long", [(1,)], hashes.murmur_final(F.col("x")))[0][0] == 0xB456BCFC34C2CB2C - (1 << 64)
+
+
+def test_delta_by_suffixes_is_small_and_fast():
+    import random
+    import time
+
+    from strandline.functions.chunks import apply_delta, delta_suffix
+    from strandline.functions.suffixes import longest_matches
+
+    r = random.Random(4)
+    old = bytes(r.choice(b"abcd") for _ in range(400))
+    new = old[200:300] + b"zz" + old[:150]
+    size, place = longest_matches(old, new)
+    assert (size[0], place[0]) == (100, 200) and (size[102], place[102]) == (150, 0)
+    assert apply_delta(old, delta_suffix(old, new)) == new
+    old = b"A" * 100_000 + bytes(r.getrandbits(8) for _ in range(100_000))
+    new = old[50_000:] + b"new" + old[:60_000]
+    began = time.time()
+    patch = delta_suffix(old, new)
+    assert apply_delta(old, patch) == new
+    assert len(patch) < 2000 and time.time() - began < 20

@@ -143,3 +143,45 @@ def test_renumber_over_buckets(spark, monkeypatch):
     left = [i for i in range(40) if not (i % 7 == 3 or 20 <= i <= 27)]
     assert rows(got_files, "idx") == [(k, str(i)) for k, i in enumerate(left)]
     assert [r[0] for r in rows(got_bridge, "idx")] == [left.index(i) for i in range(0, 40, 3) if i in left]
+
+
+def test_p95_of_large_groups(spark, monkeypatch):
+    """The narrowed search gives the sorted value at the rank, for repeated and for distinct values."""
+    import random
+
+    from strandline.operators import aggregates as A
+
+    monkeypatch.setattr(A, "NARROW", 200)
+    r = random.Random(2)
+    groups = {"a": [r.random() for _ in range(3000)], "b": [r.randint(0, 3) * 1.0 for _ in range(2500)], "c": [1.0] * 400, "d": [r.random() for _ in range(30)], "e": [float(i) for i in range(201)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("a", None)], "k string, v double")
+    got = {x["k"]: (x["p95"], x["n"]) for x in A.p95(df, ["k"], "v").collect()}
+    assert got == {k: (sorted(v)[min(len(v) - 1, int(len(v) * 0.95 + 0.5))], len(v)) for k, v in groups.items()}
+    assert A.p95(df, [], "v").first()["n"] == sum(map(len, groups.values()))
+
+
+def test_places_over_runs(spark):
+    from strandline.operators.topk import with_place
+
+    rows = [(i, (i * 7) % 5 - 2) for i in range(1000)]
+    got = {r["idx"]: r["place"] for r in with_place(spark.createDataFrame(rows, "idx long, eff int"), run=64).collect()}
+    assert got == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])))}
+
+
+def test_small_looks_at_bytes(spark):
+    from strandline.operators.lookups import small
+
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(small(wide))
+    assert not hinted(small(wide, size=5000))
+    assert not hinted(small(wide, rows=9))
+
+
+def test_report(spark):
+    from strandline.operators import tables as TB
+
+    df = spark.createDataFrame([(-1, 1024), (0, 2048), (4, 1536)], "eff int, size long")
+    text = TB.report(df, 2).first()["report"]
+    assert text.startswith("Total Files: 3\nTotal Size: 4.5 KB\nPriority Range: -1 to 4\nBase Priority Adjustment: 2\nEssential Content: 66.7%\n")
+    assert [x.split(":")[0].strip() for x in text.split("Breakdown:\n")[1].split("\n")] == ["Critical", "Essential", "Normal"]

@@ -192,3 +192,48 @@ def test_storage_formats(spark, tmp_path):
     path = put(tmp_path / "v", "x.vfs", vfs)
     got = vfs_resolve(*(B.read(spark, k, path) for k in ("vfs_paths", "vfs_spans", "vfs_containers"))).collect()
     assert {r["path"]: r["encoded_size"] for r in got} == {"a/b/c.txt": 1, "a/d": 0, "top": None}
+
+
+def test_paged_index(spark, tmp_path):
+    rows = sorted((key(), i, i * 3, i % 9) for i in range(3000))
+    for group in (False, True):
+        path = tmp_path / f"x{group}.index"
+        path.write_bytes(B.build_index(rows, group))
+        spark.dataSource.register(B.PagedIndex)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        df = spark.read.format("pagedindex").load(str(path))
+        want = B.parse_index(path.read_bytes())
+        assert [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in df.orderBy("pos").collect()] == want
+        one = df.where(F.col("ekey") == F.lit(bytearray(rows[1234][0])))
+        assert [r["size"] for r in one.collect()] == [rows[1234][1]]
+        assert one.rdd.getNumPartitions() == 1
+        assert df.where(F.col("ekey") == F.lit(bytearray(b"\xff" * 16))).count() == 0
+    empty = tmp_path / "empty.index"
+    empty.write_bytes(B.build_index([]))
+    assert spark.read.format("pagedindex").load(str(empty)).count() == 0
+
+
+def test_read_ranges(spark, tmp_path):
+    (tmp_path / "a").write_bytes(bytes(range(256)) * 8)
+    (tmp_path / "b").write_bytes(b"short")
+    asked = [(f"file://{tmp_path}/a", 256, 4), (f"file://{tmp_path}/a", 0, 2), (f"{tmp_path}/b", 3, 10), (f"{tmp_path}/b", 9, 1)]
+    got = {(r["path"], r["offset"]): bytes(r["data"]) for r in B.read_ranges(spark.createDataFrame(asked, "path string, offset long, size long")).collect()}
+    assert list(map(got.get, [(p, o) for p, o, _ in asked])) == [b"\0\1\2\3", b"\0\1", b"rt", b""]
+
+
+def test_log_ends_at_an_empty_page():
+    rows = [(key(9), 1, 2, 3, "Normal")]
+    raw = B.build_log(rows)
+    assert [r[1:] for r in B.parse_log(raw + bytes(512) + raw)] == rows
+    with pytest.raises(FormatError):
+        B.parse_log(raw[:8] + bytes([raw[8] ^ 1]) + raw[9:])
+
+
+def test_product_configs(spark, tmp_path):
+    good = put(tmp_path / "p", "a.json", '{"all":\n {"config": {"product": "x", "form": {"game_dir": {"dirname": "D"}}}}}')
+    from strandline.operators import tables as TB
+
+    row = X.read_product_configs(spark, good).select("product_uid", TB.game_directory(F.col("document")).alias("d"), TB.game_directory(F.lit("{}")).alias("none")).first()
+    assert tuple(row) == ("x", "D", None)
+    with pytest.raises(Exception, match="bad product configuration"):
+        X.read_product_configs(spark, put(tmp_path / "q", "a.json", "no json")).collect()
