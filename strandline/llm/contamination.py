@@ -270,12 +270,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the text of test phrases: each span is cut out and a line break left in its place.
 
-    A document of which no word is left goes; one without a hit stays as it is.
+    A document of which no word is left goes; one without a hit stays as it is, null and empty texts too. Extra
+    columns of any name are kept.
     """
     cols = docs.columns
-    found = find(docs, benchmark, **options)
-    row = found.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != "text"]).alias("__row"), "text", "n_words", "spans")
-    out = T.StructType([row.schema["__row"], T.StructField("text", T.StringType())])
+    rest = [F.col(f"`{c}`") for c in cols if c != "text"]
+    found = find(docs.select(F.struct(*rest or [F.lit(0).alias("none")]).alias("row"), "text"), benchmark, **options)
+    row = found.select("row", "text", "n_words", "spans")
+    out = T.StructType([row.schema["row"], T.StructField("text", T.StringType())])
 
     @lean
     def run(batches):
@@ -291,6 +293,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                     texts[i] = b"\n".join(parts).decode("utf-8")
                     keep[i] = sum(x["word_to"] - x["word_from"] for x in s) < n
             m = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), pa.array(texts, pa.string()).filter(m)], names=["__row", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), pa.array(texts, pa.string()).filter(m)], names=["row", "text"])
 
-    return row.mapInArrow(run, out).select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`") for c in cols])
+    return row.mapInArrow(run, out).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in cols])

@@ -8,7 +8,8 @@ models are fitted on the driver on at most ``max_train`` labelled ids (those wit
 each; scoring reads whole texts on the executors.
 
 Features: which lower-cased words occur, and which first four and five characters of longer words, hashed
-into ``2**bits`` slots. A model uses the ``MAX_FEATURES`` slots that speak for its category most (chi-squared). Whether a word occurs does not fade with a text's length.
+into ``2**bits`` slots. A model uses the ``MAX_FEATURES`` slots that speak for its category most (chi-squared)
+among those in some texts of it, three or, where few are labelled and held-out scores are clearly better for it, one. Whether a word occurs does not fade with a text's length.
 
 Edge cases: null and empty texts have no features and are not rejected; ids may be null or repeat (each row
 is scored on its own; of a labelled id's texts the smallest one is learned from, and of its marks the largest);
@@ -39,8 +40,10 @@ CATEGORIES: dict[str, Callable[[], Column]] = {
 #: The categories that reject a text.
 TARGETS = ("toxic", "toxic_junk")
 BITS, MAX_TRAIN, FOLDS, MAX_FEATURES, BLOCK = 20, 12_000, 4, 400, 1 << 20
-#: Strengths of regularisation to choose from, and bounds of the threshold.
-STRENGTHS, THRESHOLDS = (1e-5, 1e-4, 1e-3), (0.25, 0.75)
+#: Strengths of regularisation, and numbers of texts that a slot is in at least, to choose from; bounds of the threshold.
+STRENGTHS, LEAST_TEXTS, THRESHOLDS = (1e-5, 1e-4, 1e-3), (3, 1), (0.25, 0.75)
+#: How much better than a choice before it a later one has to be.
+CLEARLY = 0.98
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
@@ -70,17 +73,17 @@ def features(data: np.ndarray, off: np.ndarray, bits: int, wanted: np.ndarray |
     return Rows(idx, np.ones(len(idx)), np.searchsorted(row, np.arange(len(off))))
 
 
-def _chi(a: np.ndarray, n_a: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """How much each slot speaks for a category: in ``a`` texts of it, of ``n_a`` in all. 0 if it speaks against."""
+def _chi(a: np.ndarray, n_a: np.ndarray, n1: float, n0: float, least: int = 1) -> np.ndarray:
+    """How much each slot speaks for a category: in ``a`` texts of it, of ``n_a`` in all. 0 if it speaks against, or is in fewer than ``least``."""
     b = n_a - a
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1, n_a * (n1 + n0 - n_a))
-    chi[a * n0 <= b * n1] = 0
+    chi[(a < least) | (a * n0 <= b * n1)] = 0
     return chi
 
 
-def _telling(x: Rows, y: np.ndarray, n: int) -> np.ndarray:
+def _telling(x: Rows, y: np.ndarray, n: int, least: int = 1) -> np.ndarray:
     """The slots that tell y best."""
-    chi = _chi(np.bincount(x.idx, y[x.row], n), np.bincount(x.idx, minlength=n).astype(float), float(y.sum()), float(len(y) - y.sum()))
+    chi = _chi(np.bincount(x.idx, y[x.row], n), np.bincount(x.idx, minlength=n).astype(float), float(y.sum()), float(len(y) - y.sum()), least)
     best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
     return np.sort(best[chi[best] > 0])
 
@@ -123,8 +126,8 @@ class Chain:
         self.names, self.bits, self.models, self.threshold = names, bits, [], 0.5
         self.targets = [i for i, n in enumerate(names) if n in targets]
 
-    def _one(self, x: Rows, extra: np.ndarray, y: np.ndarray, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        slots = _telling(x, y, 1 << self.bits)
+    def _one(self, x: Rows, extra: np.ndarray, y: np.ndarray, l2: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slots = _telling(x, y, 1 << self.bits, least)
         weight = np.where(y == 1, min(10.0, (len(y) - y.sum()) / y.sum()), 1.0)
         w, v = fit_sparse(_narrow(x, slots), extra, y, len(slots), l2, weight)
         return slots, w, v
@@ -134,13 +137,13 @@ class Chain:
         slots, w, v = model
         return sigmoid(_narrow(x, slots).dot(w) + extra @ v[:-1] + v[-1])
 
-    def _held_out(self, x: Rows, extra: np.ndarray, y: np.ndarray, fold: np.ndarray, l2: float) -> np.ndarray:
+    def _held_out(self, x: Rows, extra: np.ndarray, y: np.ndarray, fold: np.ndarray, l2: float, least: int) -> np.ndarray:
         """Probabilities of each row by a model that has not seen its fold."""
         out = np.zeros(len(y))
         for f in np.unique(fold):
             a, b = fold != f, fold == f
             if 0 < y[a].sum() < a.sum():
-                out[b] = self._apply(self._one(x.pick(a), extra[a], y[a], l2), x.pick(b), extra[b])
+                out[b] = self._apply(self._one(x.pick(a), extra[a], y[a], l2, least), x.pick(b), extra[b])
             elif a.any():
                 out[b] = y[a].mean()
         return out
@@ -154,13 +157,14 @@ class Chain:
             if t.min(initial=1) == t.max(initial=0) or not len(t):
                 self.models.append(None)
             else:
-                loss, chosen = np.inf, strengths[0]
-                for l2 in strengths:
-                    p = self._held_out(x, extra, t, fold, l2)
-                    q = np.clip(np.where(t == 1, p, 1 - p), 1e-3, 1)
-                    if -np.log(q).mean() < loss:
-                        loss, chosen, best = -np.log(q).mean(), l2, p
-                self.models.append(self._one(x, extra, t, chosen))
+                loss, chosen = np.inf, (strengths[0], LEAST_TEXTS[0])
+                for least in LEAST_TEXTS:
+                    for l2 in strengths:
+                        p = self._held_out(x, extra, t, fold, l2, least)
+                        q = np.clip(np.where(t == 1, p, 1 - p), 1e-3, 1)
+                        if -np.log(q).mean() < loss * (CLEARLY if least != chosen[1] else 1):
+                            loss, chosen, best = -np.log(q).mean(), (l2, least), p
+                self.models.append(self._one(x, extra, t, *chosen))
             extra = np.hstack([extra, best[:, None]])
         self._decide(extra, y)
         return self

@@ -536,3 +536,91 @@ def test_span_hash_is_by_content():
     at = np.array([0, 3, 6])
     a, b, c = h(at, at + 3)
     assert a == b != c
+
+
+STAGE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, __row string, __null boolean, __gone string, row string, spans string, n_words string, rejected string, p_toxic string, gone string, kept string"
+
+
+def test_pipeline_edges(spark, sf_dir, odd):
+    """Every stage keeps nulls, repeated rows and columns with clashing names, and takes an empty table."""
+    import corpus_pipeline
+
+    rows = [(r[0], r[1], "en", "s", 1, *[f"{i}"] * 1, True, *[f"x{k}" for k in range(8)]) for i, r in enumerate(odd)]
+    df = spark.createDataFrame(rows, STAGE_COLUMNS).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, df, sf_dir)
+        assert got.columns == df.columns, name
+        kept = {tuple(r)[5]: r for r in got.collect()}
+        for r in df.collect():
+            if r["__row"] in kept:
+                same = kept[r["__row"]]
+                assert [same[c] for c in df.columns if c != "text"] == [r[c] for c in df.columns if c != "text"], name
+        assert any(r["doc_id"] is None for r in kept.values()) == any(r[0] is None for r in odd), name
+        assert stage(spark, df.where("false"), sf_dir).count() == 0, name
+    packed = corpus_pipeline.STAGES[4][1](spark, df, sf_dir)
+    assert packed.select("doc_id", "doc_tokens").count() >= len(odd)
+    assert corpus_pipeline.STAGES[4][1](spark, df.where("false"), sf_dir).count() == 0
+
+
+def test_labels_of_repeated_ids(spark):
+    """A labelled id that many rows have is learned from once, so what comes to the driver stays bounded."""
+    docs = spark.range(4000).selectExpr("0L as doc_id", "concat('same words ', id) as text").union(spark.createDataFrame([(1, "other thing"), (2, "third thing")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    assert len(chain.models) == 3
+    assert toxicity.score(docs, chain).where("rejected").select("doc_id").distinct().count() <= 1
+    assert quality.score(docs, quality.train(docs, labels)).count() == 4002
+
+
+def test_ranker_against_plain_descent():
+    """The fitted ranking is that of plain gradient descent on the pairs' logistic loss."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 5))
+    y = (x @ np.array([1.0, -2, 0.5, 0, 0]) + r.normal(size=300) > 0).astype(int)
+    ranker = quality.Ranker().fit(x, y)
+    z = ranker._wide(x)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rng = np.random.default_rng(7)
+    n = quality.PAIRS_PER_DOC
+    win = np.concatenate([np.repeat(good, n), rng.choice(good, len(bad) * n)])
+    lose = np.concatenate([rng.choice(bad, len(good) * n), np.repeat(bad, n)])
+    d = z[win] - z[lose]
+    w = np.zeros(z.shape[1])
+    for _ in range(4000):
+        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + 1e-3 * w)
+    want = 1 / (1 + np.exp(-(z @ w - np.quantile(z @ w, len(bad) / 300))))
+    assert np.abs(ranker.score(x) - want).max() < 0.02
+
+
+def test_chain_against_plain_descent(monkeypatch):
+    """Each link of the chain is a logistic regression over its slots and the links before, as plain descent fits it."""
+    from strandline.llm.linear import Rows
+
+    monkeypatch.setattr(toxicity, "LEAST_TEXTS", (1,))
+    r = np.random.default_rng(6)
+    dense = (r.random((400, 12)) < 0.3).astype(float)
+    y = np.stack([dense[:, 0] > 0, (dense[:, 1] + dense[:, 2] > 1) | (r.random(400) < 0.05)], 1).astype(int)
+    row, col = np.nonzero(dense)
+    rows = Rows(col.astype(np.int64), np.ones(len(col)), np.searchsorted(row, np.arange(401)))
+    chain = toxicity.Chain(["junk", "toxic"], 4, ("toxic",)).fit(rows, y, np.arange(400) % 4, strengths=(1e-2,))
+    slots, w, v = chain.models[1]
+    # the first link's out-of-fold probabilities, fitted plainly
+    def descend(a, t, l2, free):
+        weight = np.where(t == 1, min(10.0, (len(t) - t.sum()) / t.sum()), 1.0)
+        u = np.zeros(a.shape[1])
+        reg = np.full(a.shape[1], l2)
+        reg[-1] = 0
+        for _ in range(20_000):
+            u -= 0.5 * (a.T @ (weight * (1 / (1 + np.exp(-a @ u)) - t)) / weight.sum() + reg * u)
+        return u
+
+    first = chain.models[0][0]
+    one = np.ones((400, 1))
+    oof = np.zeros(400)
+    for f in range(4):
+        a, b = np.arange(400) % 4 != f, np.arange(400) % 4 == f
+        keep = toxicity._telling(rows.pick(a), y[a, 0].astype(float), 16)
+        u = descend(np.hstack([dense[a][:, keep], one[a]]), y[a, 0], 1e-2, 1)
+        oof[b] = 1 / (1 + np.exp(-np.hstack([dense[b][:, keep], one[b]]) @ u))
+    u = descend(np.hstack([dense[:, slots], oof[:, None], one]), y[:, 1], 1e-2, 1)
+    assert len(first) and np.abs(np.concatenate([w, v]) - u).max() < 0.05
