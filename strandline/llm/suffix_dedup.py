@@ -12,7 +12,7 @@ stretch of text, and equal stretches are one *type*:
    smaller place in the corpus give each suffix's longest previous factor, the same arrays mirrored its longest
    later one. A window that reaches ``length`` bytes has an earlier, or a later, match;
 4. a minimizer with more than ``HOT`` types (a line that a third of all documents share) is not gathered,
-   so a group holds ``HOT`` stretches of less than two windows each at most, which is 0.4 MB: the rest is
+   so a group holds ``HOT`` stretches of less than two windows each at most, which is 1.6 MB: the rest is
    routed again by a longer ``k``, up to whole windows, of which each is one type.
 
 So no group grows with the corpus, and nothing is capped or sampled. ``keep_first`` removes later copies
@@ -44,7 +44,7 @@ from strandline.llm.hashing import SpanHash, blocks, text_bytes
 from strandline.llm.stream import gathered
 from strandline.llm.work import Scratch, lean
 
-LENGTH, CHUNK, HOT, SHARD = 200, 1 << 20, 1024, 1 << 18
+LENGTH, CHUNK, HOT, SHARD = 200, 1 << 20, 4096, 1 << 18
 _POS_BITS = np.uint64(28)
 
 
@@ -105,15 +105,15 @@ def matches(texts: list[bytes], order: np.ndarray, length: int, keep_first: bool
     """
     size = np.array([len(x) for x in texts], np.int64)
     end = np.cumsum(size + 1) - 1
-    seq = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 1
+    seq = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int16) + np.int16(1)
     seq[end] = 0
-    row = np.repeat(np.arange(len(texts)), size + 1)
-    inner = np.arange(len(seq)) - (end - size)[row]
-    place = order[row] * np.int64(1 << 20) + inner
     ranks: list = []
     sa = suffix_array(seq, ranks)
     prefixes = common_prefixes(seq, sa, ranks, length)
-    del ranks
+    del ranks, seq
+    row = np.repeat(np.arange(len(texts)), size + 1)
+    inner = np.arange(len(sa)) - (end - size)[row]
+    place = order[row] * np.int64(1 << 20) + inner
     hit = previous_factors(sa, prefixes, place, length) >= length
     if not keep_first:
         hit |= previous_factors(sa, prefixes, -place, length) >= length
