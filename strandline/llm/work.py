@@ -11,6 +11,7 @@ import functools
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 #: Bytes of rows that go to a Python worker at once, where the session leaves that open.
 BATCH_BYTES = 4 << 20
 #: Rows of narrow tables for which one file will do.
-ROWS_A_FILE = 200_000
+ROWS_A_FILE = 500_000
 
 
 def lean(run):
@@ -156,16 +157,52 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges, and the smallest node that each reaches by them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """``edges(a, b)`` with those of each part replaced by a star around the smallest node of what they join."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    @lean
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            node, root = _labels(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], schema=schema)
+
+    return edges.select("a", "b").coalesce(parts).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of undirected ``edges(a, b)`` by alternating large and small stars.
+    """Connected components of undirected ``edges(a, b)``: within parts first, then by alternating large and small stars.
 
     Returns ``(node, component)`` for each node of an edge; ``component`` is the smallest node that links
-    reach. Null ends and self-links are ignored. All steps are joins and partial aggregates over edges;
-    nothing is gathered per component. Each round but the last shortens the longest path.
+    reach. Null ends and self-links are ignored. A part has ``ROWS_A_FILE`` edges on average, so its task's memory
+    is bounded; if there is one part, its stars are the result. Otherwise all steps are joins and partial
+    aggregates over the stars; nothing is gathered per component. Each round but the last shortens the longest path.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    e = e.where("a is not null and b is not null and a <> b").distinct()
-    e = scratch.save(e, "edges")
+    every = scratch.save(e.where("a is not null and b is not null and a <> b"), "edges")
+    parts = 1 + every.count() // ROWS_A_FILE
+    e = scratch.save(_contracted(every, parts), "edges")
+    scratch.drop(every)
+    if parts == 1:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
     seen, rows = None, e.count()
     while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -624,3 +624,16 @@ def test_chain_against_plain_descent(monkeypatch):
         oof[b] = 1 / (1 + np.exp(-np.hstack([dense[b][:, keep], one[b]]) @ u))
     u = descend(np.hstack([dense[:, slots], oof[:, None], one]), y[:, 1], 1e-2, 1)
     assert len(first) and np.abs(np.concatenate([w, v]) - u).max() < 0.05
+
+
+@pytest.mark.parametrize("rows", [500_000, 60])
+def test_components_in_parts(spark, rows, monkeypatch):
+    """One part or many: the components are those of a plain union."""
+    monkeypatch.setattr(work, "ROWS_A_FILE", rows)
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(r.randint(1000, 1400), r.randint(1000, 1400)) for _ in range(220)] + [(5000 + i, 4000) for i in range(50)] + [(7, 7), (None, 3), (1, 0), (0, 1)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {x["node"]: x["component"] for x in work.components(df, work.Scratch(spark, "t")).collect()}
+    plain = [e for e in edges if None not in e and e[0] != e[1]]
+    assert got == brute.roots(sorted({x for e in plain for x in e}), plain)
+    assert work.components(df.where("false"), work.Scratch(spark, "t")).count() == 0
