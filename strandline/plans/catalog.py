@@ -42,7 +42,8 @@ def query(sql: str | None = None):
 def queries() -> dict[str, Query]:
     import strandline.plans.catalog_formats
     import strandline.plans.catalog_more
-    import strandline.plans.catalog_rest  # noqa: F401
+    import strandline.plans.catalog_rest
+    import strandline.plans.catalog_store  # noqa: F401
 
     return dict(_QUERIES)
 
@@ -50,7 +51,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     import strandline.plans.catalog_formats
     import strandline.plans.catalog_more
-    import strandline.plans.catalog_rest  # noqa: F401
+    import strandline.plans.catalog_rest
+    import strandline.plans.catalog_store  # noqa: F401
 
     return dict(_ORACLES)
 
@@ -135,7 +137,7 @@ SELECT category, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(min
 FROM c GROUP BY category
 """)
 def priority_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-01, 02, 04; AGG-06..08; FLT-47."""
+    """PRJ-01, 02, 04; AGG-06..08, 13..15; FLT-47."""
     a = A.priority_analysis(_priced(spark, sf_dir))
     return a.select("category", "files", "bytes", "min_priority", "max_priority", F.round("avg_bytes", 4).alias("avg_bytes"), F.round("files_percent", 6).alias("files_percent"), F.round("bytes_percent", 6).alias("bytes_percent"), "weight")
 
@@ -418,7 +420,7 @@ def merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS gets, count(*) FILTER (WHERE event_id % 3 = 0) AS hits, round(count(*) FILTER (WHERE event_id % 3 = 0) / count(*)::DOUBLE, 9) AS hit_rate, CAST(sum(user_id) AS BIGINT) AS bytes FROM events GROUP BY event_type")
 def hit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-46, AGG-48, AGG-49."""
+    """AGG-46, 48..51, 53, 54, 70."""
     e = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 3 == 0).alias("was_hit"), F.col("user_id").alias("size"))
     return A.hit_stats(e, ["event_type"]).select("event_type", "gets", "hits", F.round("hit_rate", 9).alias("hit_rate"), "bytes")
 

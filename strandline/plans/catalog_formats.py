@@ -95,7 +95,7 @@ def _encoding(rows: list[dict]) -> bytes:
 
 @query(f"WITH {_PARTS} SELECT id, ekey, s AS file_size, CASE WHEN s % 2 = 0 THEN 'n' ELSE 'b:{{*=z}}' END AS spec FROM p UNION ALL SELECT -id - 1, NULL, NULL, NULL FROM p WHERE id % 7 = 0")
 def encoding_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-06, 29; SRC-16..18; JN-06, 08; VAL-03: content key to encoding key to spec, through encoding tables, bare or in a container."""
+    """SNK-06, 29; SRC-16..18; JN-06, 08; SCL-14; VAL-03: content key to encoding key to spec, through encoding tables, bare or in a container."""
     parts = _parts(spark, sf_dir)
     blobs = B.build_groups(parts, ["doc"], ["id"], _encoding)
     asked = parts.select("id", "ckey").union(parts.where("id % 7 = 0").select((-F.col("id") - 1).alias("id"), _key("id", "none").alias("ckey")))
@@ -126,7 +126,7 @@ def root_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PARTS}, {_ROOT} SELECT id, CASE WHEN content = 0 AND s % 3 <> 2 THEN ckey END AS ckey, CASE WHEN content = 0 AND s % 3 <> 2 THEN id END AS fdid FROM r")
 def root_path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-03, 19; PRJ-11: paths in any case and with either slash, to content keys, through root tables, in two of three locales."""
+    """JN-03, 19; PRJ-11; SCL-01, 35: paths in any case and with either slash, to content keys, through root tables, in two of three locales."""
     rows = _root_rows(spark, sf_dir)
     root = B.rows(B.build_groups(rows, ["doc"], ["id"], _root), "root").drop("doc")
     low = F.when(F.col("id") % 2 == 0, F.upper("p_name")).otherwise(F.lower("p_name"))
@@ -151,7 +151,7 @@ def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PARTS} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY ekey) - 1 AS INTEGER) AS pos, ekey, s AS size, id * 5 AS offset, CASE WHEN doc % 2 = 1 THEN CAST(id % 700 AS INTEGER) END AS archive_index FROM p")
 def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-10, 11, 30; SRC-22, 24; VAL-04, 16, 17; ORD-01: archive indexes and groups, sorted by key."""
+    """SNK-10, 11, 30; SRC-22, 24; VAL-04, 16, 17; SCL-11..13; ORD-01: archive indexes and groups, sorted by key."""
     parts = TB.in_key_order(_parts(spark, sf_dir), "ekey", ["doc"])
     blobs = B.build_groups(parts, ["doc"], ["ekey"], lambda rows: B.build_index([(r["ekey"], r["s"], r["id"] * 5, r["id"] % 700) for r in rows], rows[0]["doc"] % 2 == 1))
     return B.rows(blobs, "cdn_index").select("doc", "pos", _hex("ekey").alias("ekey"), "size", "offset", "archive_index")
@@ -159,7 +159,7 @@ def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PARTS} SELECT doc, id % 16 AS bucket, ekey9, CAST(id % 1023 AS INTEGER) AS archive_id, id * 9 AS offset, s AS size FROM p WHERE id % 3 <> 0 UNION ALL SELECT doc, id % 16, ekey9, CAST(id % 1023 AS INTEGER), id * 9 + 1, s + 1 FROM p WHERE id % 9 = 0")
 def local_index_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-18, 19; SRC-36, 37; SET-06; VAL-14: local indexes with their logs: a third of the entries deleted, some of them set again."""
+    """SNK-18, 19; SRC-36, 37, 63; SET-06, 07; VAL-14: local indexes with their logs: a third of the entries deleted, some of them set again."""
     parts = _parts(spark, sf_dir).withColumn("bucket", F.col("id") % 16)
 
     def build(rows: list[dict]) -> bytes:

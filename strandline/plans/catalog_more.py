@@ -273,14 +273,14 @@ def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, round(avg(n_chars), 6) AS mean_bytes, count(*) FILTER (WHERE n_chars > 4294967295) AS large_files, round(count(*) FILTER (WHERE n_chars > 4294967295) * 100.0 / count(*), 6) AS large_percent FROM documents")
 def size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-18..20, 23, 24."""
+    """AGG-18..20, 23, 24, 35, 42."""
     s = A.size_stats(table(spark, sf_dir, "documents"), "n_chars")
     return s.select("files", "bytes", F.round("mean_bytes", 6).alias("mean_bytes"), "large_files", F.round("large_percent", 6).alias("large_percent"))
 
 
 @query("SELECT count(*) AS files, count(nullif(o_custkey % 3, 0)) AS named, count(DISTINCT o_custkey) AS ids, count(DISTINCT nullif(o_custkey % 3, 0)) AS names FROM orders")
 def root_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-29..31."""
+    """AGG-29..31, 45."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("fdid"), F.nullif(F.col("o_custkey") % 3, F.lit(0)).alias("name_hash"))
     return A.root_stats(o)
 
@@ -304,7 +304,7 @@ def network_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 10 <> 0) AS valid, count(*) FILTER (WHERE doc_id % 10 = 0) AS invalid FROM documents WHERE text IS NOT NULL")
 def verify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-44, JN-45, VAL-10..12: content against an external key, damaged on purpose for every tenth row."""
+    """AGG-43, 44; JN-45, VAL-10..12: content against an external key, damaged on purpose for every tenth row."""
     d = table(spark, sf_dir, "documents").where("text is not null").select("text", K.content_key(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("key"))
     return A.verify_content(d, "text", "key")
 
