@@ -1,4 +1,4 @@
-"""The chunk container and the binary delta codec (SCL-22..25, 28..30, 45; SRC-32..34, 58; SNK-16, 17, 36..39; AGG-36, 64; FLT-55; STR-05).
+"""The chunk container and the binary delta codec.
 
 A container is a list of chunks, each stored, deflated, LZ4-packed or encrypted. Functions work on bytes; the
 ``*_column`` ones apply them to batches of binary values.

@@ -1,4 +1,4 @@
-"""Hashes and stream ciphers that Spark lacks, as Arrow-batched functions (SCL-01..03, 10, 26, 27, 35, 37, 40; VAL-14).
+"""Hashes and stream ciphers that Spark lacks, as Arrow-batched functions.
 
 Values of a batch are hashed together: numpy runs over the n-th block of every value at once.
 """

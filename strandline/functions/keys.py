@@ -1,4 +1,4 @@
-"""Content keys, buckets, checksums and typed values (SCL-04..09, 11..15, 17, 18, 28, 34; PRJ-17; VAL-10, 11, 23)."""
+"""Content keys, buckets, checksums and typed values."""
 
 from __future__ import annotations
 

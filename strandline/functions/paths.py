@@ -1,4 +1,4 @@
-"""Path, URL and cache-key expressions (PRJ-08..11, 19..21, 24, 30; FLT-10..12, 54; SCL-38, 39, 42)."""
+"""Path, URL and cache-key expressions."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Priorities, sizes and classes of files and tags (PRJ-01..07, 17, 18, 22..32; FLT-16..31, 47..53; SCL-16)."""
+"""Priorities, sizes and classes of files and tags."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Byte ranges with inclusive ends (SCL-31, 32, 36, 43; SET-23, 24; VAL-15; PRJ-29)."""
+"""Byte ranges with inclusive ends."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Compression spec strings: parse, validate, flatten, look up (SCL-19..21, 44; FLT-43..45; JN-34).
+"""Compression spec strings: parse, validate, flatten, look up.
 
 Grammar: ``n`` none; ``z[:level]`` or ``z:{level[,variant][,bits]}``; ``e:{key,iv,spec}``; ``c[:{n}]``; ``g[:{level}]``;
 ``b:spec``, ``b:size=spec`` or ``b:{size[*count]=spec,...}`` with at most one ``*`` block in braces. Sizes may end
@@ -8,6 +8,7 @@ in K or M. A tree comes out flat: one row for each node, with its path from the
 from __future__ import annotations
 
 import re
+import zlib
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -166,6 +167,32 @@ def _or_none(text):
         return None
 
 
+def unpack_by_spec(data: bytes, spec: str) -> bytes:
+    """SCL-45: patch data unpacked as its spec says: as it is, one deflated stream, or blocks of either by size.
+
+    A block's size counts packed bytes; one without a size takes the rest, and a size beyond the end is cut to it.
+    """
+    nodes = {n["path"]: n for n in parse(spec)}
+
+    def one(path: str, part: bytes) -> bytes:
+        kind = nodes[path]["kind"]
+        if kind == "None":
+            return part
+        if kind == "ZLib":
+            return zlib.decompress(part)
+        raise SpecError(f"patch data cannot be packed by {kind}")
+
+    if nodes["0"]["kind"] != "BlockTable":
+        return one("0", data)
+    out, at, k = [], 0, 0
+    while f"0.{k}" in nodes and at < len(data):
+        n = nodes[f"0.{k}"]
+        end = len(data) if n["size"] is None else min(len(data), at + n["size"] * (n["count"] or 1))
+        out.append(one(f"0.{k}", data[at:end]))
+        at, k = end, k + 1
+    return b"".join(out)
+
+
 def nodes_column(spec: Column) -> Column:
     """SCL-19, 20, 44: array of nodes; null for a string outside the grammar."""
     return F.udf(_or_none, T.ArrayType(NODE), useArrow=True)(spec)

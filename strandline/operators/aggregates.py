@@ -1,4 +1,4 @@
-"""Aggregations (AGG-01..71). Empty inputs give the figures the survey states, not nulls."""
+"""Aggregations. Empty inputs give the figures the survey states, not nulls."""
 
 from __future__ import annotations
 

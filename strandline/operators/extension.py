@@ -1,4 +1,4 @@
-"""Extension points and the checks around them (EXT-01..03, 05, 08, 09; FLT-40, 46, 57, 58; PRJ-12, 13; VAL-13; STR-19; SRC-62, 65; SCL-41).
+"""Extension points and the checks around them.
 
 Caches and HTTP clients as interfaces (EXT-04, EXT-06) have no data semantics here: Spark's own cache and readers
 take their place.

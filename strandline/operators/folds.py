@@ -1,4 +1,4 @@
-"""Ordered windows and folds (WIN-01..24; ORD-07..12 as windows; PRJ-14, 15)."""
+"""Ordered windows and folds."""
 
 from __future__ import annotations
 

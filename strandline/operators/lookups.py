@@ -1,4 +1,4 @@
-"""Lookups and joins (JN-01..39, 41..49; FLT-06..09, 13..15, 33..37; STR-11, 12, 17)."""
+"""Lookups and joins."""
 
 from __future__ import annotations
 

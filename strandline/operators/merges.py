@@ -1,4 +1,4 @@
-"""Merges, logs and mutations (SET-01..32; SNK-28; SRC-54; STR-16..18; AGG-39..41, 67)."""
+"""Merges, logs and mutations."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Sorts, limits and plans (ORD-01..17; FLT-16, 17, 38; AGG-17)."""
+"""Sorts, limits and plans."""
 
 from __future__ import annotations
 

@@ -281,7 +281,7 @@ SELECT l_orderkey, l_linenumber, s AS suppkey, s_nationkey AS nationkey, n_name
 FROM r LEFT JOIN supplier ON s = s_suppkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON s_nationkey = n_nationkey
 """)
 def resolve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-21..24: two lookups in a row, with the stage that failed."""
+    """JN-21..24, 41: two lookups in a row, with the stage that failed."""
     r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 2, F.lit(-1).cast("long")).otherwise(F.col("l_suppkey")).alias("suppkey"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("nationkey"))
     n = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))

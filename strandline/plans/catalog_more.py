@@ -54,7 +54,7 @@ SELECT count(*) AS total_tags, count(*) FILTER (WHERE tag_type IN ('Platform', '
   count(*) FILTER (WHERE tag_type IN ('Content', 'Feature', 'Expansion', 'Option', 'Alternate')) AS streamable FROM t
 """)
 def tag_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-26, FLT-30, FLT-31."""
+    """AGG-25, 26; FLT-30, 31."""
     return A.tag_analysis(_tagged(spark, sf_dir))
 
 
@@ -129,7 +129,7 @@ WITH u AS (SELECT o_custkey AS k, 0 AS src, o_orderkey AS pos, o_totalprice AS v
 SELECT k, src, pos, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY src, pos) AS r FROM u) WHERE r = 1
 """)
 def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-01, 02: equal keys keep the lowest source and position."""
+    """SET-01, 02, 28: equal keys keep the lowest source and position."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit(1).alias("src"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("v"))
     first = o.where("pos % 2 = 0").withColumn("src", F.lit(0))
     return M.merge_first(first.unionByName(o), ["k"], ["src", "pos"])
@@ -266,7 +266,7 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT lower(regexp_extract(url, '\\.([a-z]+)$', 1)) AS ext FROM pages WHERE regexp_matches(url, '\\.[a-z]+$') AND contains(regexp_extract(url, '[^\\\\/]*$'), '.')")
 def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-05, FLT-12."""
+    """AGG-05, 27, 37; FLT-12."""
     e = F.lower(PA.extension(F.col("url")))
     return A.distinct_sorted(table(spark, sf_dir, "pages"), F.when(e.rlike("^[a-z]+$"), e), "ext")
 

@@ -179,15 +179,33 @@ def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.top_k(o, ["o_custkey"], [F.col("priority"), F.col("created_at"), F.col("id")], 1 << 30).select(F.col("id").alias("o_orderkey"), "priority", F.col("rank").alias("place"))
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT user_id, s, e, row_number() OVER (PARTITION BY user_id ORDER BY s, e) AS k FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + event_id % 900 AS e FROM events)),
+f AS (
+  SELECT user_id, k, s AS a, e AS b, 1 AS g FROM r WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, CASE WHEN fits THEN a ELSE s END, CASE WHEN fits THEN greatest(b, e) ELSE e END, g + CASE WHEN fits THEN 0 ELSE 1 END
+  FROM (SELECT r.user_id, r.k, r.s, r.e, f.a, f.b, f.g, r.s <= f.b + 601 AND greatest(f.b, r.e) - f.a + 1 <= 3600 AS fits FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
+)
+SELECT user_id, min(a) AS start, max(b) AS "end" FROM f GROUP BY user_id, g
+""")
 def capped_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-09: greedy ranges of at most an hour for each user; the fold is not expressible in plain SQL."""
+    """WIN-09: greedy ranges of at most an hour for each user."""
     s = F.unix_timestamp("ts")
     r = table(spark, sf_dir, "events").select("user_id", s.alias("start"), (s + F.col("event_id") % 900).alias("end"))
     return W.coalesce_capped(r, ["user_id"], 600, 3600)
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice % 1000 + 1) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+f AS (
+  SELECT o_custkey, o_orderkey, size, k, CAST(0 AS BIGINT) AS segment, CAST(0 AS BIGINT) AS segment_offset, [size] AS used FROM o WHERE k = 1
+  UNION ALL
+  SELECT o_custkey, o_orderkey, size, k, CAST(p - 1 AS BIGINT), coalesce(used[p], 0), CASE WHEN p > len(used) THEN list_append(used, size) ELSE list_concat(list_concat(used[1:p - 1], [used[p] + size]), used[p + 1:]) END
+  FROM (SELECT o.*, f.used, coalesce(nullif(list_position(list_transform(f.used, lambda u: u + o.size <= 2000), true), 0), len(f.used) + 1) AS p FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.k = f.k + 1)
+)
+SELECT o_custkey, o_orderkey, size, segment, segment_offset FROM f
+""")
 def first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-20: orders of each customer placed in segments, first fit."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") % 1000 + 1).cast("long").alias("size"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import chunks as C
 from strandline.functions import priority as P
+from strandline.functions.specs import unpack_by_spec
 from strandline.operators import aggregates as A
 from strandline.operators import extension as X
 from strandline.operators import lookups as J
@@ -63,6 +64,22 @@ def delta_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _by_spec(name: str, i: int) -> str:
+    """A name packed by one of three specs, and unpacked again."""
+    import hashlib
+    import zlib
+
+    raw = name.encode("utf-8")
+    data, spec = ((raw * 4, "n"), (zlib.compress(raw * 4), "z"), (raw + zlib.compress(raw * 3), f"b:{{{len(raw)}=n,*=z}}"))[i % 3]
+    return hashlib.md5(unpack_by_spec(data, spec)).hexdigest()
+
+
+@query("SELECT p_partkey AS id, md5(repeat(p_name, 4)) AS digest FROM part")
+def spec_unpacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-45, 44: patch data unpacked by its spec: plain, deflated, and in blocks."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), C._each("string", _by_spec)(F.col("p_name"), F.col("p_partkey")).alias("digest"))
+
+
 @query("SELECT p_partkey AS id, 1 AS steps, 0 AS match_bytes, octet_length(encode(p_name)) AS extra_bytes, octet_length(encode(p_name)) AS size, 0.0 AS match_percent, 0.0 AS mean_seek FROM part")
 def delta_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-36, 64: figures of patches that are all extra bytes."""

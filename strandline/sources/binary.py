@@ -1,4 +1,4 @@
-"""Binary formats: rows out of files and files out of rows (SRC-14..31, 35..37, 42, 44, 55, 56; SNK-05..11, 14, 18, 19, 21, 30, 31; VAL-01..04, 14, 16, 17).
+"""Binary formats: rows out of files and files out of rows.
 
 Each format is a pair of functions over bytes, ``parse`` and ``build``, and a schema. ``read`` applies a parser
 to the files of a folder on the executors, one file a row (``binaryFile``), so it works on any store; every

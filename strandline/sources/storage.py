@@ -1,4 +1,4 @@
-"""Local storage and file-system formats (SRC-26, 28..31, 35, 36, 41..45, 57, 61, 63; SNK-13, 15, 18, 20..22, 32, 40, 41; SCL-40; VAL-20, 21)."""
+"""Local storage and file-system formats."""
 
 from __future__ import annotations
 

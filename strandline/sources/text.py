@@ -1,4 +1,4 @@
-"""Text formats: typed tables, key/value documents, key lists, responses (SRC-01..13, 38, 46..50, 59, 60, 66, 67; SNK-01..04, 23..27, 33..35; VAL-05..09, 18).
+"""Text formats: typed tables, key/value documents, key lists, responses.
 
 Documents are read by Spark's own readers, so any store that Spark reads will do; parsing is Column
 expressions over lines. ``typed`` is also a registered data source, for schemas taken from the header.

@@ -1,4 +1,4 @@
-"""Structured Streaming: caches, residency, breakers and event-time windows (STR-01..18; EXT-07; extensions marked so).
+"""Structured Streaming: caches, residency, breakers and event-time windows.
 
 Stateful operators use ``applyInPandasWithState``; each has a batch twin over the same fold, which tests compare.
 """

@@ -174,3 +174,18 @@ def test_delta_by_suffixes_is_small_and_fast():
     patch = delta_suffix(old, new)
     assert apply_delta(old, patch) == new
     assert len(patch) < 2000 and time.time() - began < 20
+
+
+def test_unpack_by_spec():
+    import zlib
+
+    from strandline.functions.specs import SpecError, unpack_by_spec
+
+    z = zlib.compress(b"tail")
+    assert unpack_by_spec(b"abc", "n") == b"abc"
+    assert unpack_by_spec(z, "z") == b"tail"
+    assert unpack_by_spec(b"head" + z, "b:{4=n,*=z}") == b"headtail"
+    assert unpack_by_spec(b"aabb" + z, "b:{2*2=n,*=z}") == b"aabbtail"
+    assert unpack_by_spec(b"ab", "b:{9=n,*=z}") == b"ab"
+    with pytest.raises(SpecError):
+        unpack_by_spec(b"abc", "c")
