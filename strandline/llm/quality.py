@@ -1,21 +1,25 @@
 """Document quality by Bradley-Terry ranking of preference pairs.
 
 A pair prefers a document labelled 1 to one labelled 0; the model is a linear score, learned by logistic loss
-on the difference of the two feature vectors. Every labelled document of the sample takes part in
-``pairs_per_doc`` pairs, its partners drawn by a fixed generator. The score's cut is a quantile of the
-sample's scores: the share of rows labelled 0. The returned score is a logistic of the distance to the cut.
+on the difference of the two feature vectors. ``train`` learns from all labelled documents and all their pairs
+(``ranking``): features are computed where the texts are and kept in a table, which each step of the fit sweeps
+once or twice; sums come to the driver. The score's cut is a quantile of the scores of all documents learned from:
+the share of rows labelled 0. The returned score is a logistic of the distance to the cut. ``Ranker.fit`` is for
+rows in memory, with ``pairs_per_doc`` pairs for each, their partners drawn by a fixed generator.
 
 Features come from the whole text's bytes: shares of kinds of bytes, lengths of words and lines, repeated
 words, word pairs and lines, and the text's length. Language, source, id and labels are no inputs.
 
 Edge cases: null and empty texts get features of zeros and so a score between 0 and 1; without labels of
-both kinds every score is 0.5; null labels are not used; repeated rows are scored each, and of a labelled id's
-texts the smallest is learned from, of its labels the largest. Extra columns are
+both kinds every score is 0.5; null labels are not used; repeated rows are scored each, and a labelled id is
+learned from once, with the text whose features come first in order, and the largest of its labels. Extra columns are
 kept.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +28,12 @@ from pyspark.sql import types as T
 
 from strandline.llm.hashing import LOWER, SpanHash, blocks, mix, text_bytes, words
 from strandline.llm.linear import fit_dense, sigmoid
-from strandline.llm.work import lean, small_batches
+from strandline.llm.ranking import Sweep, add, fit_pairs, quantiles
+from strandline.llm.work import Scratch, lean, small_batches
 
-MAX_TRAIN, PAIRS_PER_DOC, BLOCK = 20_000, 8, 1 << 20
+PAIRS_PER_DOC, BLOCK = 8, 1 << 20
+#: Rows of features in a file, which one task sweeps.
+ROWS_A_SWEEP = 1 << 15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _KINDS = [np.isin(np.arange(256), np.frombuffer(k, np.uint8)) for k in (b"0123456789", b".,;:", b"!?", b"#$%&*", b"|<>{}[]\\/=_~^@+", b"\n", b"()\"'-")]
@@ -105,6 +112,20 @@ class Ranker:
         self.cut = float((lo + hi) / 2)
         return self
 
+    def fit_all(self, sweep: Sweep) -> Ranker:
+        """On all pairs of the rows that ``sweep`` reaches; in whatever order and blocks they come, but for the last digits, which are rounded off."""
+        n, good, sums = sweep(lambda x, y: (len(y), int(y.sum()), x.sum(0))) or (0, 0, 0)
+        if not good or good == n:
+            return self
+        self.mean = np.round(sums / n, 12)
+        mean = self.mean
+        self.std = np.round(np.sqrt(sweep(lambda x, y: ((x - mean) ** 2).sum(0)) / n), 12) + 1e-6
+        self.w = np.round(fit_pairs(sweep, self._wide, 2 * len(mean)), 9)
+        q = min(self.max_quantile, (n - good) / n)
+        lo, hi = quantiles(sweep, lambda x: self._wide(x) @ self.w, 1 + 6 * float(np.abs(self.w).sum()), n, [max(0, q - 0.005), min(1, q + 0.005)])
+        self.cut = float(np.round((lo + hi) / 2, 9))
+        return self
+
     def _wide(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.std, -6, 6)
         return np.hstack([z, z * z / 6])
@@ -115,28 +136,42 @@ class Ranker:
         return sigmoid(self._wide(x) @ self.w - self.cut)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ranker:
-    """Fitted on at most ``max_train`` ids of ``labels(doc_id, quality)``, those with the smallest hash, with one text each."""
-    small_batches(docs.sparkSession)
-    marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max(F.col("quality").cast("long")).alias("quality"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    # one text an id, however often it repeats; null texts count as empty
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    found = found.join(F.broadcast(sample), "doc_id").select("text", "quality")
-    schema = pa.schema([("x", pa.binary()), ("y", pa.int64())])
+def train(docs: DataFrame, labels: DataFrame) -> Ranker:
+    """Fitted on all ids of ``labels(doc_id, quality)`` that have a document."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
+    marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max(F.col("quality").cast("long")).alias("y"))
 
     @lean
-    def run(batches):
-        for b in blocks(batches, 0, BLOCK):
-            x = features(*text_bytes(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)], schema=schema)
-
-    got = found.mapInArrow(run, "x binary, y long").toArrow()
-    if not got.num_rows:
-        return Ranker()
-    x = np.stack([np.frombuffer(r) for r in got["x"].to_pylist()])
-    order = np.lexsort(x.T)  # the rows come in any order; the model must not depend on it
-    return Ranker().fit(x[order], got["y"].to_numpy()[order])
+    def featured(batches):
+        for b in blocks(batches, 1, BLOCK):
+            x = features(*text_bytes(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+
+    # features, a tenth of the texts' size, are dealt out by id, not the texts; one row an id, however often it repeats
+    src = docs.where("doc_id is not null").select("doc_id", "text")
+    rows = src.mapInArrow(featured, T.StructType([src.schema["doc_id"], T.StructField("x", T.BinaryType())])).groupBy("doc_id").agg(F.min("x").alias("x")).join(marks, "doc_id").select("x", "y")
+    table = scratch.save(rows.coalesce(1 + marks.count() // ROWS_A_SWEEP), "features")
+
+    def sweep(f):
+        @lean
+        def run(batches):
+            got = None
+            for b in batches:
+                if b.num_rows:
+                    part = f(np.frombuffer(b"".join(b.column(0).to_pylist())).reshape(b.num_rows, -1), b.column(1).to_numpy())
+                    got = part if got is None else add(got, part)
+            if got is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], names=["part"])
+
+        out = None
+        for r in table.mapInArrow(run, "part binary").collect():
+            out = pickle.loads(r["part"]) if out is None else add(out, pickle.loads(r["part"]))
+        return out
+
+    ranker = Ranker().fit_all(sweep)
+    scratch.drop(table)
+    return ranker
 
 
 def score(docs: DataFrame, ranker: Ranker) -> DataFrame:

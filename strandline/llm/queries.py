@@ -72,7 +72,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranker = quality.train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    ranker = quality.train(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
     return quality.score(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), ranker).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -592,6 +592,24 @@ def test_ranker_against_plain_descent():
     assert np.abs(ranker.score(x) - want).max() < 0.02
 
 
+def test_quality_learns_from_every_label(spark):
+    """Model and cut are those of all labelled documents and all their pairs, also beyond 20,000 of them."""
+    n = 21_000
+    texts = [words(1 + i % 7, i) + (" #$ 12 12 12" if i % 300 == 0 else " End." * (i % 4)) for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ranker = quality.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 150 != 0 as int) as quality"))
+    x = quality.features(*hashing.text_bytes(quality.pa.array(texts)))
+    y = np.arange(n) % 150 != 0
+    assert np.allclose(ranker.mean, x.mean(0), rtol=0, atol=1e-9)
+    z = ranker._wide(x)
+    slope, s = 1e-3 * ranker.w, z @ ranker.w
+    for i in np.flatnonzero(~y):  # the slope of the loss over all pairs
+        slope -= (z[y] - z[i]).T @ (1 / (1 + np.exp(s[y] - s[i]))) / (y.sum() * (~y).sum())
+    assert np.abs(slope).max() < 1e-6
+    q = (~y).mean()
+    assert abs(ranker.cut - np.quantile(s, [max(0, q - 0.005), q + 0.005]).mean()) < 1e-6
+
+
 def test_chain_against_plain_descent(monkeypatch):
     """Each link of the chain is a logistic regression over its slots and the links before, as plain descent fits it."""
     from strandline.llm.linear import Rows
