@@ -13,13 +13,16 @@ blocks. The shared blocks are the template and go:
   on a side counts only if the other side has no more.
 
 Pages that share more than ``copy_share`` of their blocks are copies, or have a long template and short articles. A
-third page tells: what is left of copies after the blocks shared with it is alike, too. The third page is one of
-the host that shares some blocks but not most; failing that, one that leaves at least ``own_share`` of the
-blocks. Where no page can tell, they count as copies, and nothing is removed for that pair.
+third page tells: what is left of copies after the blocks shared with it is alike, too. The third page is the nearest
+of ``NEAR`` on each side that shares some blocks but not most; failing that, one of the next that leaves at least
+``own_share`` of the blocks. Where no page can tell, they count as copies, and nothing is removed for that pair.
+Neighbours that are copies form runs, of any length; the witnesses on a side are of its nearest ``RUNS`` runs.
 
-Sorting is by range over all pages, so a host with many pages spreads over many tasks. A task holds some
-``HELD`` bytes of a host's pages at a time, with ``CARRY`` pages from before and after. Pages at the edge of a
-task's range whose witnesses may lie beyond it go, with the pages next to them, to a second step by host.
+So a page's text depends on the runs and pages next to it, and on nothing else: not on how many pages the host has, nor on
+how they are dealt out. Sorting is by range over all pages, so a host with many pages spreads over many tasks. A task
+settles a page when all that it looks at has come, and lets go of pages that no later one can look at (a run of
+copies is held whole). Pages that look beyond the edge of a task's range go, with all pages that they can depend on, to a
+second step by edge.
 
 Edge cases: null or empty html gives an empty text; a null URL has no neighbours; markup that is cut off or
 never closed ends with its parent; character references are decoded once, unknown ones stay; repeated rows
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +56,10 @@ _CUES = re.compile(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-#: Pages asked on each side; bytes of text held at a time, and pages carried on.
-WITNESSES, HELD, CARRY = 4, 8 << 20, 64
+#: Pages asked on each side, of so many runs of copies at most; pages on each side among which a third one is looked for.
+WITNESSES, RUNS, NEAR = 4, 8, 32
+#: Bytes of text held before a task looks which pages it can settle; no text depends on it.
+HELD = 8 << 20
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -189,8 +195,8 @@ def shared(a: list[str], b: list[str]) -> np.ndarray:
     return hit
 
 
-_STEP = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("marked", pa.bool_()), ("kind", pa.int32()), ("text", pa.string())])
-_STEP_SQL = "page_id long, url string, host string, path string, lines array<string>, marked boolean, kind int, text string"
+_STEP = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("marked", pa.bool_()), ("kind", pa.int32()), ("text", pa.string()), ("edge", pa.int32()), ("joins", pa.bool_())])
+_STEP_SQL = "page_id long, url string, host string, path string, lines array<string>, marked boolean, kind int, text string, edge int, joins boolean"
 _SEP = "\n"
 
 
@@ -217,11 +223,19 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield (*row, pa.decompress(packed, size, codec="zstd", asbytes=True).decode("utf-8").split(_SEP) if size else [], marked, _OPEN)
 
 
+#: What a look beyond an open end leaves open: the pages before, or after.
+_BEFORE, _AFTER = 1, 2
+
+
 class _Host:
-    """The pages of one host, or of a part of it, in order: (page_id, url, host, path, lines, marked, kind)."""
+    """Some pages of one host in order: (page_id, url, host, path, lines, marked, kind), without gaps.
+
+    Beyond an open end there may be more pages; ``seen`` gets ``_BEFORE`` or ``_AFTER`` as soon as one of them is asked for.
+    """
 
-    def __init__(self, pages: list[tuple], copy_share: float, own_share: float):
+    def __init__(self, pages: list[tuple], before: bool, after: bool, copy_share: float, own_share: float):
         self.share, self.own_share = copy_share, own_share
+        self.before, self.after, self.seen = before, after, 0
         self.nodes: list[list[str]] = []
         self.node_of: list[int] = []
         self.marked: list[bool] = []
@@ -231,25 +245,34 @@ class _Host:
                 self.marked.append(p[5])
             self.node_of.append(len(self.nodes) - 1)
         self.sets = [set(x) for x in self.nodes]
-        self.places: dict[str, list[int]] = {}
-        for i, x in enumerate(self.sets):
-            for t in x:
-                self.places.setdefault(t, []).append(i)
+        self.thirds: dict[int, tuple[int | None, int]] = {}
+        # runs of copies, what their ends leave open, and the ends at most, whatever pages are beyond
         n = len(self.nodes)
-        # runs of copies, and for pages that share most lines in turn, one that shares fewer
-        self.third: list[int | None] = [None] * n
-        self.first, self.last = list(range(n)), list(range(n))
-        alike = False
-        for i in range(n - 1):
-            hit = self.hits(self.nodes[i], self.nodes[i + 1])
-            was, alike = alike, self.most(hit, i, i + 1)
-            if alike:
-                self.third[i + 1] = self.third[i] = self.third[i] if was else self.find_third(i)
-                if self.copies(i, i + 1):
-                    self.first[i + 1] = self.first[i]
-        for i in range(n - 2, -1, -1):
-            if self.first[i + 1] == self.first[i]:
-                self.last[i] = self.last[i + 1]
+        found = [self.watched(self.linked, i) for i in range(n - 1)]
+        self.first, self.last, self.least, self.most_ = ([*range(n)] for _ in range(4))
+        self.open_first, self.open_last = [_BEFORE * before] * n, [_AFTER * after] * n
+        for i, (link, seen) in enumerate(found):
+            self.first[i + 1], self.open_first[i + 1] = (self.first[i], self.open_first[i] | seen) if link else (i + 1, seen)
+            if link or seen:
+                self.least[i + 1] = self.least[i]
+        for i, (link, seen) in reversed([*enumerate(found)]):
+            self.last[i], self.open_last[i] = (self.last[i + 1], self.open_last[i + 1] | seen) if link else (i, seen)
+            if link or seen:
+                self.most_[i] = self.most_[i + 1]
+
+    def watched(self, f, *args) -> tuple:
+        """What ``f`` gives, and what it leaves open."""
+        was, self.seen = self.seen, 0
+        out, seen = f(*args), self.seen
+        self.seen |= was
+        return out, seen
+
+    def has(self, j: int) -> bool:
+        if j < 0:
+            self.seen |= _BEFORE * self.before
+        elif j >= len(self.nodes):
+            self.seen |= _AFTER * self.after
+        return 0 <= j < len(self.nodes)
 
     @staticmethod
     def hits(a: list[str], b: list[str]) -> np.ndarray:
@@ -259,21 +282,35 @@ class _Host:
             out[[i for i, t in enumerate(a) if t in both]] = shared([t for t in a if t in both], [t for t in b if t in both])
         return out
 
-    def most(self, hit: np.ndarray, i: int, j: int) -> bool:
-        return bool(hit.sum() > self.share * max(len(self.nodes[i]), len(self.nodes[j])))
+    def most(self, i: int, j: int) -> bool:
+        a, b = self.nodes[i], self.nodes[j]
+        least, n = self.share * max(len(a), len(b)), min(len(a), len(b))
+        if n <= least:
+            return False
+        # common ends are on every longest common subsequence; mostly they tell
+        k = next((k for k in range(n) if a[k] != b[k]), n)
+        k += next((m for m in range(n - k) if a[-1 - m] != b[-1 - m]), n - k)
+        if k > least:
+            return True
+        return sum(t in self.sets[j] for t in a) > least and bool(self.hits(a, b).sum() > least)
+
+    def third(self, i: int) -> int | None:
+        """The nearest of ``NEAR`` pages on each side that shares lines with page i, but not most."""
+        if i not in self.thirds:
+            self.thirds[i] = self.watched(self.find_third, i)
+        j, seen = self.thirds[i]
+        self.seen |= seen
+        return j
 
     def find_third(self, i: int) -> int | None:
-        """The nearest page that shares lines with page i, but not most."""
-        found = [self.places[t] for t in self.sets[i]]
-        if max(map(len, found)) <= 64:
-            near = sorted({j for f in found for j in f}, key=lambda j: abs(j - i))
-        else:
-            near = (j for d in range(1, len(self.nodes)) for j in (i - d, i + d) if 0 <= j < len(self.nodes))
-        for j in near:
-            if j != i and not self.sets[i].isdisjoint(self.sets[j]) and not self.most(self.hits(self.nodes[i], self.nodes[j]), i, j):
+        for j in (j for d in range(1, NEAR + 1) for j in (i - d, i + d)):
+            if self.has(j) and not self.sets[i].isdisjoint(self.sets[j]) and not self.most(i, j):
                 return j
         return None
 
+    def linked(self, i: int) -> bool:
+        return self.most(i, i + 1) and self.copies(i, i + 1)
+
     def copies(self, i: int, j: int) -> bool:
         """Are two pages that share most lines copies of each other?"""
         a, b = self.nodes[i], self.nodes[j]
@@ -283,123 +320,153 @@ class _Host:
         def left(w):
             return tuple([t for t, h in zip(x, self.hits(x, self.nodes[w]), strict=True) if not h] for x in (a, b))
 
-        w = self.third[i]
-        if w is not None and w != j and not self.most(self.hits(b, self.nodes[w]), j, w) and not self.most(self.hits(a, self.nodes[w]), i, w):
+        w = self.third(i)
+        if w is not None and w != j and not self.most(j, w):
             x, y = left(w)
             return bool(self.hits(x, y).sum() > self.share * max(len(x), len(y)))
         lo, hi = min(i, j), max(i, j)
-        for w in [w for d in range(1, 9) for w in (lo - d, hi + d, lo + d) if 0 <= w < len(self.nodes) and w not in (i, j)]:
-            if self.nodes[w] not in (a, b):
+        for w in (w for d in range(1, 9) for w in (lo - d, hi + d, lo + d)):
+            if self.has(w) and self.nodes[w] not in (a, b):
                 x, y = left(w)
                 if max(len(x) / len(a), len(y) / len(b)) >= self.own_share:
                     return bool(self.hits(x, y).sum() > self.share * max(len(x), len(y)))
         return True
 
-    def witness(self, i: int, step: int, beyond: int | None = None) -> int | None:
-        """The nearest page before (-1) or after (1) page i, or page ``beyond``, that has text and is no copy of page i."""
-        edge = self.first if step < 0 else self.last
-        j = edge[i if beyond is None else beyond] + step
-        while 0 <= j < len(self.nodes):
-            if self.nodes[j] and not (self.most(self.hits(self.nodes[i], self.nodes[j]), i, j) and self.copies(i, j)):
-                return j
-            j = edge[j] + step
-        return None
-
-    def template(self, i: int, before: bool, after: bool) -> tuple[np.ndarray, bool, list[int]]:
-        """Which blocks of page i go; whether pages beyond the ends, where there may be some, could change that; its witnesses."""
-        n, used = len(self.nodes[i]), []
+    def witnesses(self, i: int, step: int) -> Iterator[int]:
+        """The nearest pages before (-1) or after (1) page i that have text and are no copies of it, one of a run of copies."""
+        ends, unsure = (self.first, self.open_first) if step < 0 else (self.last, self.open_last)
+        j = i
+        found = 0
+        for _ in range(RUNS):
+            self.seen |= unsure[j]
+            j = ends[j] + step
+            if not self.has(j):
+                return
+            if self.nodes[j] and not (self.most(i, j) and self.copies(i, j)):
+                yield j
+                found += 1
+                if found == WITNESSES:
+                    return
+
+    def template(self, i: int) -> np.ndarray:
+        """Which blocks of page i go."""
+        n = len(self.nodes[i])
         if not self.marked[i]:
-            waits, sides = False, []
-            for step, more in ((-1, before), (1, after)):
-                j, seen, votes = None, 0, np.zeros(n, np.int64)
-                for _ in range(WITNESSES):
-                    j = self.witness(i, step, j)
-                    if j is None:
-                        waits |= more
-                        break
+            sides = []
+            for step in (-1, 1):
+                seen, votes = 0, np.zeros(n, np.int64)
+                for j in self.witnesses(i, step):
                     votes += self.hits(self.nodes[i], self.nodes[j])
-                    used += [j, j + step]
                     seen += 1
                 sides.append((seen, 2 * votes > seen))
             # at a host's end, a side with a single page says little beside one with more
             least = min(2, max(seen for seen, _ in sides))
-            return np.logical_or.reduce([shared_ for seen, shared_ in sides if seen >= least]), waits, used
-        gone, waits, seen = np.ones(n, bool), False, 0
-        for step, more in ((-1, before), (1, after)):
-            j = None
-            for _ in range(WITNESSES):
-                j = self.witness(i, step, j)
-                if j is None:
-                    waits |= more
-                    break
+            return np.logical_or.reduce([shared_ for seen, shared_ in sides if seen >= least])
+        gone, seen = np.ones(n, bool), 0
+        for step in (-1, 1):
+            for j in self.witnesses(i, step):
                 gone &= self.hits(self.nodes[i], self.nodes[j])
                 if not gone.any():
-                    return gone, False, []
-                used += [j, j + step]
+                    return gone
                 seen += 1
-        return gone if seen > 1 else np.zeros(n, bool), waits, used
+        return gone if seen > 1 else np.zeros(n, bool)
+
+    def reach(self, i: int, step: int) -> int:
+        """The farthest page that the text of page i can depend on, on one side, if the host's end is not nearer."""
+        ends = self.least if step < 0 else self.most_
+        for _ in range(RUNS + 1):
+            i = ends[i] + step
+            if not 0 <= i < len(self.nodes):
+                break
+        return min(max(i + step * NEAR, 0), len(self.nodes) - 1)
 
 
+#: A page with its text, one that waits for others, and one that others need.
 _DONE, _OPEN, _BESIDE = 0, 1, 2
 
 
-def _settle(pages: list[tuple], before: bool, after: bool, copy_share: float, own_share: float) -> Iterator[tuple]:
-    """(page, kind, text) of the pages of one host; ``before``, ``after``: there may be more of it beyond the ends.
+class _Part:
+    """Pages of one host as they come, held until nothing that is still to come can change their texts.
 
-    Pages that wait for what is beyond are open, and those they will be compared with are beside them.
+    ``before``: the host may have begun in the range before. Then the first pages go to the second step, and so do the last
+    ones if it may go on in the next range, each with all pages that they can depend on. Ranges have edges 0 and 1. If some
+    page can depend on what is beyond both, all pages go with edge 0, and it is said that it joins edge 1.
     """
-    host = _Host(pages, copy_share, own_share)
-    asked = {i for i, p in zip(host.node_of, pages, strict=True) if p[6] == _OPEN}
-    texts: dict[int, str] = {}
-    beside: set[int] = set()
-    for i in asked:
-        gone, waits, used = host.template(i, before, after)
-        if waits:
-            beside.update(used)
-            if host.third[i] is not None:
-                beside.add(host.third[i])
-        else:
-            texts[i] = _SEP.join(t for t, g in zip(host.nodes[i], gone, strict=True) if not g)
-    sent = set()
-    for p, i in zip(pages, host.node_of, strict=True):
-        if p[6] == _OPEN:
-            yield (p, _DONE, texts[i]) if i in texts else (p, _OPEN, None)
-        if i in beside and i not in sent and (p[6] != _OPEN or i in texts):
-            sent.add(i)
-            yield p, _BESIDE, None
+
+    def __init__(self, before: bool, copy_share: float, own_share: float):
+        self.before, self.shares = before, (copy_share, own_share)
+        self.rows: list[tuple] = []
+        self.size, self.limit = 0, HELD
+
+    def add(self, row: tuple) -> Iterator[tuple]:
+        self.rows.append(row)
+        self.size += _size(row)
+        if self.size > self.limit:
+            yield from self.settle(True, False)
+
+    def send(self, a: int, b: int, node_of: list[int], asked: set[int], edge: int, joins: bool = False) -> Iterator[tuple]:
+        """Pages of nodes a to b for the second step, which settles those of the nodes ``asked``."""
+        for k, i in enumerate(node_of):
+            if a <= i <= b:
+                p = self.rows[k]
+                kind = _OPEN if p[6] == _OPEN and i in asked else _BESIDE
+                if kind == _OPEN:
+                    self.rows[k] = (*p[:6], _BESIDE, *p[7:])
+                yield p, kind, None, edge, joins
+
+    def settle(self, more: bool, beyond: bool) -> Iterator[tuple]:
+        """(page, kind, text, edge, joins) of what can be told; ``more``: pages are still to come, ``beyond``: there may be some in the next range."""
+        host = _Host(self.rows, self.before, more or beyond, *self.shares)
+        n, waits, texts = len(host.nodes), {}, {}
+        for k, (p, i) in enumerate(zip(self.rows, host.node_of, strict=True)):
+            if p[6] == _OPEN:
+                if i not in waits:
+                    gone, waits[i] = host.watched(host.template, i)
+                    texts[i] = _SEP.join(t for t, g in zip(host.nodes[i], gone, strict=True) if not g)
+                if not waits[i]:
+                    yield p, _DONE, texts[i], None, None
+                    self.rows[k] = (*p[:6], _BESIDE, *p[7:])
+        early, late = ({i for i, w in waits.items() if w & side} for side in (_BEFORE, _AFTER))
+        a, b = host.reach(min(late, default=n - 1), -1), host.reach(max(early, default=0), 1)
+        apart = a > 0 and b < n - 1  # no page from a on looks before this range, none up to b behind it
+        if self.before and beyond and not apart:
+            yield from self.send(0, n - 1, host.node_of, early | late, 0, True)
+            return
+        if self.before and (not more or apart):
+            yield from self.send(0, b, host.node_of, early - late, 0)
+            self.before = False
+        if beyond:
+            yield from self.send(a, n - 1, host.node_of, late, 1)
+        if more and not self.before:
+            self.rows = self.rows[int(np.searchsorted(host.node_of, a)) :]
+        self.size = sum(map(_size, self.rows))
+        self.limit = max(HELD, 2 * self.size)
 
 
-def _difference(rows: Iterator[tuple], ends_open: bool, copy_share: float, own_share: float) -> Iterator[pa.RecordBatch]:
-    """From pages in order of host and path, their texts without the template."""
+def _difference(rows: Iterator[tuple], ends_open: bool, copy_share: float, own_share: float, at: int = 0) -> Iterator[pa.RecordBatch]:
+    """From pages in order of host and path, their texts without the template; the pages are those between the edges ``at`` and ``at + 1``.
 
-    def settled():
-        first, size = True, 0
-        held: list[tuple] = []
-
-        def flush(is_last, until=None):
-            """Settles what is held; the pages from ``until`` on stay, with as many before them as context."""
-            nonlocal held, size
-            late = set(range(until, len(held))) if until is not None else set()
-            pages = [(*r[:6], _BESIDE) if k in late else r for k, r in enumerate(held)]
-            for p, kind, text in _settle(pages, ends_open and first, ends_open and is_last, copy_share, own_share):
-                yield (*p[:4], None, p[5], kind, text) if kind == _DONE else (*p[:6], kind, text)
-            held = [] if until is None else [*((*r[:6], _BESIDE) for r in held[max(0, until - CARRY) : until]), *held[until:]]
-            size = sum(map(_size, held))
+    Rows may have an eighth value, which comes before the host in their order.
+    """
 
+    def parts():
+        part = _Part(ends_open, copy_share, own_share)
         for r in rows:
             if not r[2]:
-                yield *r[:4], None, r[5], _DONE, _SEP.join(r[4])
+                yield r, _DONE, _SEP.join(r[4]), None, None
                 continue
-            if held and r[2] != held[-1][2]:
-                yield from flush(False)
-                first = False
-            held.append(r)
-            size += _size(r)
-            if size > HELD and len(held) > 4 * CARRY:
-                yield from flush(False, len(held) - CARRY)
-                first = False
-        if held:
-            yield from flush(True)
+            if part.rows and (r[2], r[7:]) != (part.rows[-1][2], part.rows[-1][7:]):
+                yield from part.settle(False, False)
+                part = _Part(False, copy_share, own_share)
+            yield from part.add(r)
+        if part.rows:
+            yield from part.settle(False, ends_open)
+        elif ends_open:  # a range without pages of a host: what is beyond its edges meets
+            yield (None,) * 7, _BESIDE, None, 0, True
+
+    def settled():
+        for p, kind, text, edge, joins in parts():
+            yield (*p[:4], None, p[5], kind, text, None, None) if kind == _DONE else (*p[:6], kind, text, at + edge, joins)
 
     buf, n = [], 0
     for r in settled():
@@ -425,13 +492,19 @@ def extract(pages: DataFrame, copy_share: float = 0.8, own_share: float = 0.1) -
 
     @lean
     def ranges(batches):
-        yield from _difference(_unpacked(batches), True, copy_share, own_share)
+        yield from _difference(_unpacked(batches), True, copy_share, own_share, TaskContext.get().partitionId())
 
     @lean
     def edges(batches):
-        yield from _difference((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True)), False, copy_share, own_share)
+        yield from _difference((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True)), False, copy_share, own_share)
 
     # parsed once for the ranges' bounds and once for the rows: less than keeping the parsed pages in between
     step = scratch.save(src.mapInArrow(_parse, _PARSED_SQL).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(ranges, _STEP_SQL), "ranges")
-    rest = step.where(F.col("kind") != _DONE).repartition("host").sortWithinPartitions(*order).select("page_id", "url", "host", "path", "lines", "marked", "kind")
+    edge, of = F.col("edge"), {}
+    for e in sorted(r["edge"] for r in step.where("joins").select("edge").distinct().collect()):  # one for each range at most
+        of[e + 1] = of.get(e, e)
+    if of:
+        edge = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in of.items() for v in pair]), edge), edge)
+    rest = step.where((F.col("kind") != _DONE) & F.col("host").isNotNull()).withColumn("edge", edge).repartition("edge").sortWithinPartitions("edge", *order)
+    rest = rest.select("page_id", "url", "host", "path", "lines", "marked", "kind", "edge")
     return step.where(F.col("kind") == _DONE).unionByName(rest.mapInArrow(edges, _STEP_SQL)).where(F.col("kind") == _DONE).select("page_id", "url", "text")

@@ -452,6 +452,40 @@ def test_html_long_host(spark, monkeypatch):
         assert text == f"Own text {i}" or edge < 4
 
 
+@pytest.mark.parametrize("held", [1 << 40, 20_000])
+@pytest.mark.parametrize("cuts", [[], [1, 2, 340, 700, 701, 1100]])
+def test_html_whatever_the_parts(monkeypatch, held, cuts):
+    """Texts depend neither on how much of a host is held at a time nor on how its pages are dealt out."""
+    menu = ["Home", "News", "About"]
+    rows, want = [], {}
+    for i in range(1200):
+        copy, heavy = 200 <= i < 800, i >= 1000  # 600 near copies in a row; a host whose template is far longer than its articles
+        shared = menu + [f"Template {k}" for k in range(40)] if heavy else menu
+        own = [f"Story line {k}" for k in range(30)] + [f"Printed {i}"] if copy else [f"Page {i} line {k}" for k in range(6)]
+        host = "site" if i < 1000 else "wordy"
+        rows.append((i, f"http://{host}/{i:04}", host, f"/{i:04}", shared + own, False, html_extract._OPEN))
+        want[i] = "\n".join(own)
+    monkeypatch.setattr(html_extract, "HELD", held)
+
+    def step(part, ends_open):
+        return [r for b in html_extract._difference(iter(part), ends_open, 0.8, 0.1) for r in b.to_pylist()]
+
+    done, edges, open_ = [], {}, set()
+    for at, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+        for r in step(rows[a:b], bool(cuts)):
+            if r["kind"] == html_extract._DONE:
+                done.append(r)
+            else:  # an edge's pages meet; here those of all edges that ranges join
+                edges.setdefault(at + r["edge"], []).append(r)
+                open_ |= {at} if r["joins"] else set()
+    for e in sorted(open_):
+        edges[e + 1] = edges.pop(e) + edges.get(e + 1, [])
+    for e in edges.values():
+        done += step([tuple(r[c] for c in ("page_id", "url", "host", "path", "lines", "marked", "kind")) for r in sorted(e, key=lambda r: r["page_id"])], False)
+    assert len(done) == len(rows)
+    assert {r["page_id"]: r["text"] for r in done} == want
+
+
 def test_lcs_against_table():
     r = random.Random(5)
     for _ in range(200):
