@@ -117,20 +117,33 @@ def previous_factors(sa: np.ndarray, prefixes: np.ndarray, place: np.ndarray, le
 
 def longest_matches(old: bytes, new: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each position of ``new``, the length and the place in ``old`` of the longest match that starts there."""
-    seq = np.concatenate([np.frombuffer(old, np.uint8).astype(np.int64) + 1, [0], np.frombuffer(new, np.uint8).astype(np.int64) + 1, [0]])
+    return longest_matches_many([(old, new)])[0]
+
+
+def longest_matches_many(pairs: list[tuple[bytes, bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``longest_matches`` of each pair (old, new), from one suffix array: each pair has letters of its own."""
+    parts, cut = [], np.zeros(1, np.int64)
+    for i, (old, new) in enumerate(pairs):
+        for raw in (old, new):
+            parts += [np.frombuffer(raw, np.uint8).astype(np.int64) + (256 * i + 1), cut]
+    seq = np.concatenate(parts) if parts else cut
+    sizes = np.array([[len(old) + 1, len(new) + 1] for old, new in pairs], np.int64).reshape(-1, 2)
+    starts = np.cumsum(sizes.ravel()) - sizes.ravel()
+    part = np.repeat(np.arange(2 * len(pairs)), sizes.ravel())  # even: old, odd: new
     ranks: list = []
     sa = suffix_array(seq, ranks)
     n = len(seq)
-    is_old = sa < len(old)
+    of, text = part[sa] if len(pairs) else sa, seq[sa] > 0
+    is_old = text & (of % 2 == 0)
     before = np.maximum.accumulate(np.where(is_old, np.arange(n), -1))
     after = np.minimum.accumulate(np.where(is_old, np.arange(n), n)[::-1])[::-1]
-    mine = np.flatnonzero((sa > len(old)) & (sa < n - 1))
-    size, place = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-    for beside, ok in ((before, before[mine] >= 0), (after, after[mine] < n)):
-        k = mine[ok]
+    mine = np.flatnonzero(text & (of % 2 == 1))
+    size, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for beside in (before, after):
+        k = mine[(beside[mine] >= 0) & (beside[mine] < n)]
+        k = k[of[beside[k]] == of[k] - 1]
         at, other = sa[k], sa[beside[k]]
         length = pair_prefixes(seq, ranks, at, other)
-        at = at - len(old) - 1
         better = length > size[at]
-        size[at[better]], place[at[better]] = length[better], other[better]
-    return size, place
+        size[at[better]], place[at[better]] = length[better], (other - starts[of[k] - 1])[better]
+    return [(size[s : s + len(new)], place[s : s + len(new)]) for s, (_, new) in zip(starts[1::2].tolist(), pairs, strict=True)]

@@ -14,7 +14,7 @@ from strandline.operators import lookups as J
 from strandline.operators import merges as M
 from strandline.operators import topk as O
 from strandline.plans.catalog import query, table
-from strandline.plans.session import work_folder
+from strandline.plans.session import spread, work_folder
 from strandline.sources import storage as S
 from strandline.sources import text as T
 
@@ -55,13 +55,11 @@ def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delta_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-36..38; SRC-34, 58; SCL-27..30; VAL-22; STR-05: patches by all three methods, applied."""
     name = F.col("p_name")
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.encode(F.repeat(name, 6), "utf-8").alias("old"), F.encode(F.concat(F.repeat(name, 5), F.col("p_partkey").cast("string"), F.repeat(name, 3)), "utf-8").alias("new"))
-    out = None
-    for method in ("simple", "chunked", "suffix"):
-        got = p.withColumn("got", C.apply_delta_column(F.col("old"), C.delta_column(F.col("old"), F.col("new"), method)))
-        part = got.select("id", F.lit(method).alias("method"), F.md5("got").alias("digest"), (F.col("got") == F.col("new")).alias("same"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", 5000)
+    p = p.select(F.col("p_partkey").alias("id"), F.encode(F.repeat(name, 6), "utf-8").alias("old"), F.encode(F.concat(F.repeat(name, 5), F.col("p_partkey").cast("string"), F.repeat(name, 3)), "utf-8").alias("new"))
+    got = [F.struct(F.lit(m).alias("method"), C.apply_delta_column(F.col("old"), C.delta_column(F.col("old"), F.col("new"), m)).alias("got")) for m in ("simple", "chunked", "suffix")]
+    out = p.select("id", "new", F.explode(F.array(*got)).alias("r")).select("id", "new", "r.*")
+    return out.select("id", "method", F.md5("got").alias("digest"), (F.col("got") == F.col("new")).alias("same"))
 
 
 def _by_spec(name: str, i: int) -> str:

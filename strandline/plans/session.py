@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -24,6 +25,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """A table whose rows cost much more than their bytes say, dealt to tasks of some ``rows`` rows each.
+
+    Left to the bytes, a narrow table of any number of rows comes in one task or two. The count reads footers only.
+    """
+    return df.repartition(max(1, math.ceil(df.count() / rows)), by)
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package to the session's Python files unless the workers find it anyway (working folder or PYTHONPATH)."""
     known = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}

@@ -176,6 +176,27 @@ def test_delta_by_suffixes_is_small_and_fast():
     assert len(patch) < 2000 and time.time() - began < 20
 
 
+def test_deltas_of_many_short_pairs_at_once():
+    import random
+    import time
+
+    from strandline.functions.chunks import apply_delta, delta_suffix, delta_suffix_many
+
+    r = random.Random(5)
+    word = lambda n: bytes(r.choice(b"ab\0\xff") for _ in range(n))
+    pairs = [(a * 3, a + word(r.randrange(9)) + a * 2) for a in (word(r.randrange(40)) for _ in range(300))] + [None, (b"", b""), (b"", b"x" * 40), (b"x" * 40, b"")]
+    assert delta_suffix_many(pairs) == [p and delta_suffix(*p) for p in pairs] and delta_suffix_many([]) == [] and delta_suffix_many([None]) == [None]
+    assert all(p is None or apply_delta(p[0], d) == p[1] for p, d in zip(pairs, delta_suffix_many(pairs), strict=True))
+    pairs = [(b"hot bolt" * 6, b"hot bolt" * 5 + b"%d" % i + b"hot bolt" * 3) for i in range(4000)]
+    began = time.time()
+    delta_suffix_many(pairs)
+    many = time.time() - began
+    began = time.time()
+    for p in pairs[:400]:
+        delta_suffix(*p)
+    assert many < 6 * (time.time() - began)  # ten times as many
+
+
 def test_unpack_by_spec():
     import zlib
 
