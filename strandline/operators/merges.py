@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -117,7 +118,7 @@ def not_expired(df: DataFrame, now: Column, expires: str = "expires_at") -> Data
 
 
 def grouped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Callable[[list[dict]], list[dict]], schema: T.StructType) -> DataFrame:
-    """WIN-09, 20; SET-20: an order-dependent greedy fold of each group, whose size its caller bounds."""
+    """WIN-09, 20: an order-dependent greedy fold of each group, whose size its caller bounds."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([(o, "ascending") for o in order]).to_pylist()
@@ -136,22 +137,46 @@ def merge_plan(segments: DataFrame, threshold: float, capacity: int) -> DataFram
     """
     kind = T.StructType([T.StructField("group", T.LongType()), T.StructField("source", T.LongType()), T.StructField("target", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def fold(rows: list[dict]) -> list[dict]:
-        sparse = sorted((r for r in rows if r["size"] and 0 < r["used"] < threshold * r["size"]), key=lambda r: (r["used"], r["segment"]))
-        fill = {r["segment"]: r["used"] for r in sparse}
-        gone, out = set(), []
-        for r in sparse:
-            if r["segment"] in fill and any(o["target"] == r["segment"] for o in out):
-                continue
-            room = [s for s in fill if s not in gone and s != r["segment"] and fill[s] + r["used"] <= capacity]
-            if room:
-                to = max(room, key=lambda s: (fill[s], -s))
-                out.append({"group": r["group"], "source": r["segment"], "target": to, "offset": fill[to]})
-                fill[to] += r["used"]
-                gone.add(r["segment"])
-        return out
-
-    return grouped_fold(segments, ["group"], ["used", "segment"], fold, kind)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("used", "ascending"), ("segment", "ascending")])
+        moves = _moves(table["segment"].to_pylist(), table["used"].to_pylist(), capacity)
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        cols = list(zip(*moves, strict=True)) or [(), (), ()]
+        return pa.Table.from_arrays([pa.array([table["group"][0].as_py()] * len(moves), pa.int64()), *[pa.array(c, pa.int64()) for c in cols]], schema=to_arrow_schema(kind))
+
+    sparse = segments.where((F.col("size") != 0) & (F.col("used") > 0) & (F.col("used") < F.lit(threshold) * F.col("size")))
+    return sparse.select("group", "segment", "used").groupBy("group").applyInArrow(run, kind)
+
+
+def _moves(segments: list[int], used: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """Moves (source, target, offset) of segments in the order of their used bytes.
+
+    The room asked for only grows, and so do the fills: a segment that is too full once stays so and leaves the heap for
+    good. The fullest that is left is the target, the lowest number of equally full ones.
+    """
+    fill = dict(zip(segments, used, strict=True))
+    heap = [(-f, s) for s, f in fill.items()]
+    heapq.heapify(heap)
+    gone, targets, out = set(), set(), []
+    for s, u in zip(segments, used, strict=True):
+        if s in targets:
+            continue
+        own = None
+        while heap and (heap[0][1] in gone or -heap[0][0] + u > capacity or heap[0][1] == s):
+            top = heapq.heappop(heap)
+            if top[1] == s and s not in gone and -top[0] + u <= capacity:
+                own = top
+        if heap:
+            to = heap[0][1]
+            out.append((s, to, fill[to]))
+            fill[to] += u
+            heapq.heapreplace(heap, (-fill[to], to))
+            targets.add(to)
+            gone.add(s)
+        elif own:
+            heapq.heappush(heap, own)
+    return out
 
 
 def compact_offsets(spans: DataFrame, keys: Sequence[str]) -> DataFrame:

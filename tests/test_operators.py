@@ -77,6 +77,37 @@ def test_merge_plan(spark):
     assert rows(M.merge_plan(s, 0.5, 100)) == [(0, 1, 2, 30)]
 
 
+def _moves_by_trying_all(rows, capacity):
+    """The rule as it reads: rows are (segment, used)."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    fill, gone, out = dict(rows), set(), []
+    for s, u in rows:
+        room = [t for t in fill if t not in gone and t != s and fill[t] + u <= capacity]
+        if room and s not in {t for _, t, _ in out}:
+            to = max(room, key=lambda t: (fill[t], -t))
+            out.append((s, to, fill[to]))
+            fill[to] += u
+            gone.add(s)
+    return out
+
+
+def test_merge_plan_of_large_groups(spark):
+    import random
+    import time
+
+    r = random.Random(3)
+    for n in [0, 1, 2, 3] + [r.randrange(40) for _ in range(300)]:
+        top = r.choice([3, 30, 500])
+        rows_ = [(r.randrange(n) if top == 30 else i, r.randrange(1, top + 1)) for i in range(n)]
+        capacity = r.choice([top // 2, top, 2 * top, 5 * top])
+        rows_ = sorted(rows_, key=lambda x: (x[1], x[0]))
+        assert M._moves([s for s, _ in rows_], [u for _, u in rows_], capacity) == _moves_by_trying_all(rows_, capacity)
+    big = spark.range(100_000).selectExpr("id % 2 as `group`", "id as segment", "id * 7 % 500 as used", "1000L as size")
+    began = time.time()
+    assert M.merge_plan(big, 0.5, 1000).count() > 50_000
+    assert time.time() - began < 30
+
+
 def test_allocate(spark):
     df = spark.createDataFrame([("g", i, s) for i, s in enumerate([60, 50, 40, 10])], "k string, i long, size long")
     assert rows(W.allocate(df, ["k"], ["i"], "size", 100).select("i", "segment", "segment_offset"), "i") == [(0, 0, 0), (1, 1, 0), (2, 0, 60), (3, 1, 50)]
