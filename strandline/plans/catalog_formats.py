@@ -269,6 +269,13 @@ def _written(spark: SparkSession, lines: DataFrame, name: str, order: str | None
     return path
 
 
+def _documents(spark: SparkSession, documents: DataFrame, name: str) -> str:
+    """JSON documents in files that hold many: a file each would cost more than all the rest."""
+    path = work_folder(spark, name)
+    documents.select("document").write.text(path, lineSep=X.RECORD_SEPARATOR)
+    return path
+
+
 @query("SELECT n_nationkey AS key, n_name AS name, md5(n_name) AS hash, 7 AS seqn FROM nation")
 def typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-01, 02; SRC-01..04, 38: a typed table written and read."""
@@ -303,11 +310,10 @@ def build_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     h = F.md5("s_name")
     rec = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("product"), F.lit("1.0").alias("version"), F.lit("7").alias("build"), *[h.alias(n) for n in ("build_config", "cdn_config", "encoding_ekey", "root_ekey", "install_ekey", "download_ekey")], F.lit("2024-01-01T00:00:00").alias("build_time"))
-    builds = X.read_builds(spark, _written(spark, s.agg(F.to_json(F.collect_list(rec)).alias("line")), "builds"))
-    config = s.select(X.product_config_json(F.struct(F.col("s_name").alias("uid"), F.concat(F.lit("data/"), F.col("s_nationkey").cast("string")).alias("dir"))).alias("line"), F.col("s_suppkey").alias("id"))
-    path = work_folder(spark, "products")
-    config.write.partitionBy("id").text(path)  # a document each
-    dirs = X.read_product_configs(spark, path).select("product_uid", TB.game_directory(F.col("document")).alias("dir")).distinct()
+    arrays = s.groupBy(F.floor(F.col("s_suppkey") / FILE)).agg(F.to_json(F.collect_list(rec)).alias("document")).select("document")
+    builds = X.read_builds(spark, _documents(spark, arrays, "builds"), many=True)
+    config = s.select(X.product_config_json(F.struct(F.col("s_name").alias("uid"), F.concat(F.lit("data/"), F.col("s_nationkey").cast("string")).alias("dir"))).alias("document"))
+    dirs = X.read_product_configs(spark, _documents(spark, config, "products"), many=True).select("product_uid", TB.game_directory(F.col("document")).alias("dir")).distinct()
     return builds.join(dirs, F.col("product") == F.col("product_uid")).select("id", "product", "build_config", "dir")
 
 

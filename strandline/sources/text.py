@@ -208,9 +208,19 @@ def build_valid(c: str = "") -> Column:
     return ok
 
 
-def read_builds(spark: SparkSession, path: str) -> DataFrame:
+#: Fixed value: what stands between documents of a file that holds many (a JSON text has it only escaped).
+RECORD_SEPARATOR = "\x1e"
+
+
+def _documents(spark: SparkSession, path: str, many: bool) -> DataFrame:
+    """Whole files, or the documents of files that hold many, in ``value``."""
+    r = spark.read.option("recursiveFileLookup", "true")
+    return r.text(path, lineSep=RECORD_SEPARATOR) if many else r.text(path, wholetext=True)
+
+
+def read_builds(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
     """SRC-46: build records of JSON arrays with their place; one bad record stops the query."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{BUILDS.replace(' ', ':').replace(',:', ', ')}>>")).alias("pos", "b")).select("b.*", "pos")
+    raw = _documents(spark, path, many).select(F.posexplode(F.from_json("value", f"array<struct<{BUILDS.replace(' ', ':').replace(',:', ', ')}>>")).alias("pos", "b")).select("b.*", "pos")
     return raw.where(F.when(build_valid(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a bad build record at "), F.col("pos").cast("string")))))
 
 
@@ -220,9 +230,9 @@ def product_config_json(product: Column) -> Column:
     return F.to_json(doc, {"pretty": "true"})
 
 
-def read_product_configs(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-11: (doc, product_uid, document) of JSON documents, one a file; one that is no JSON object stops the query."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("document"))
+def read_product_configs(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """SRC-11: (doc, product_uid, document) of JSON documents, one a file or with separators; one that is no JSON object stops the query."""
+    raw = _documents(spark, path, many).select(F.input_file_name().alias("doc"), F.col("value").alias("document"))
     whole = F.from_json("document", "map<string,string>").isNotNull() & F.get_json_object("document", "$.all.config").isNotNull()
     checked = raw.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a bad product configuration: "), F.col("doc")))))
     return checked.select("doc", F.get_json_object("document", "$.all.config.product").alias("product_uid"), "document")

@@ -237,3 +237,19 @@ def test_product_configs(spark, tmp_path):
     assert tuple(row) == ("x", "D", None)
     with pytest.raises(Exception, match="bad product configuration"):
         X.read_product_configs(spark, put(tmp_path / "q", "a.json", "no json")).collect()
+
+
+def test_many_documents_in_a_file(spark, sf_dir, tmp_path, monkeypatch):
+    from strandline.plans import catalog_formats
+
+    docs = spark.range(500).select(X.product_config_json(F.struct(F.format_string("p\n\x1e\u00e9%d", "id").alias("uid"), F.lit("d").alias("dir"))).alias("document"))
+    docs.coalesce(1).write.text(str(tmp_path / "p"), lineSep=X.RECORD_SEPARATOR)
+    got = X.read_product_configs(spark, str(tmp_path / "p"), many=True).select("product_uid").collect()
+    assert {r[0] for r in got} == {f"p\n\x1e\u00e9{i}" for i in range(500)} and len(got) == 500
+    with pytest.raises(Exception, match="a bad product configuration"):
+        X.read_product_configs(spark, put(tmp_path / "q", "a.json", "{}\x1eno json"), many=True).collect()
+    monkeypatch.setattr(catalog_formats, "work_folder", lambda spark, name: f"{tmp_path}/work/{name}")
+    assert catalog_formats.build_records(spark, sf_dir).count() > 0
+    one = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    files = [f for f in (tmp_path / "work").rglob("*.txt")]
+    assert files and len(files) < one  # not a file for each supplier
