@@ -19,6 +19,7 @@ from strandline.operators import folds as W
 from strandline.operators import lookups as J
 from strandline.operators import merges as M
 from strandline.operators import topk as O
+from strandline.plans.session import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -26,6 +27,7 @@ _ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandline.functions import chunks as C
 from strandline.functions import priority as P
@@ -25,6 +30,18 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
 
 
+def _by_document(d: DataFrame, cols: list[str], figures: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Rows of figures about each document. Blobs are made and read one at a time and do not leave the worker."""
+    kind = to_arrow_schema(StructType.fromDDL(f"doc_id long, {schema}"))
+
+    def run(batches):
+        for b in batches:
+            rows = [(doc, *r) for doc, *values in zip(b["doc_id"], *(b[c] for c in cols), strict=True) for doc in (doc.as_py(),) for r in figures(*(v.as_py() for v in values))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(kind), kind, strict=True)], schema=kind)
+
+    return d.select("doc_id", *[c for c in cols if c != "doc_id"]).mapInArrow(run, f"doc_id long, {schema}")
+
+
 def _packed(raw: bytes, doc: int) -> bytes:
     """Containers of all kinds in turn: stored, packed, and encrypted with either cipher."""
     cipher = {2: "salsa20", 3: "arc4"}.get(doc % 4)
@@ -38,10 +55,13 @@ _N = "d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, octet_length(encod
 @query(f"WITH {_N} SELECT doc_id, CAST(i AS INTEGER) AS idx, ['N', 'Z', 'E', 'E'][doc_id % 4 + 1] AS mode, CAST(least(4096, n - 4096 * i) AS BIGINT) AS decompressed_size, true AS same FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(n / 4096) AS BIGINT)))) AS i FROM d)")
 def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-16, 17, 39; SRC-32, 33; SCL-22..26: every document in a container, stored, packed or encrypted; its chunk table, and whether the content came back."""
-    packed = _texts(spark, sf_dir).withColumn("blob", C._each("binary", _packed)(F.col("raw"), F.col("doc_id")))
-    same = C.content_column(F.col("blob"), {_KEY_ID: _KEY}) == F.col("raw")
-    rows = packed.select("doc_id", same.alias("same"), F.explode(C.chunks_column(F.col("blob"))).alias("c"))
-    return rows.select("doc_id", "c.idx", "c.mode", "c.decompressed_size", "same")
+
+    def figures(raw: bytes, doc: int) -> list[tuple]:
+        blob = _packed(raw, doc)
+        same = C.read_container(blob, {_KEY_ID: _KEY}) == raw
+        return [(c["idx"], c["mode"], c["decompressed_size"], same) for c in C.list_chunks(blob)]
+
+    return _by_document(_texts(spark, sf_dir), ["raw", "doc_id"], figures, "idx int, mode string, decompressed_size long, same boolean")
 
 
 @query(f"WITH {_N} SELECT doc_id, CAST(i AS INTEGER) AS idx, CAST(least(4096, n - 4096 * i) AS BIGINT) AS size FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(n / 4096) AS BIGINT)))) AS i FROM d) WHERE i BETWEEN 1 AND 2")
@@ -89,20 +109,14 @@ def delta_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_N} SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS ekey, n + 30 AS size, true AS valid, true AS bare, true AS packed FROM d")
 def local_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-20, 40; SRC-40..42; SCL-40: blobs behind their local header, bare or in a container."""
-    d = _texts(spark, sf_dir).withColumn("ekey", F.unhex(F.md5(F.col("doc_id").cast("string"))))
-    headed = lambda raw, key: S.build_local_header(key, len(raw), 5) + raw
-    d = d.withColumn("blob", C._each("binary", headed)(F.col("raw"), F.col("ekey")))
-    d = d.withColumn("box", C._each("binary", headed)(C.container_column(F.col("raw")), F.col("ekey")))
-    read = C._each("binary", S.read_local_content)
-    d = d.withColumn("h", F.from_json(C._each("string", _header_json)(F.col("blob")), "ekey string, size long, valid boolean"))
-    return d.select("doc_id", F.col("h.ekey").alias("ekey"), F.col("h.size").alias("size"), F.col("h.valid").alias("valid"), (F.substring(read(F.col("blob")), 31, 1 << 30) == F.col("raw")).alias("bare"), (read(F.col("box")) == F.col("raw")).alias("packed"))
 
+    def figures(raw: bytes, key: bytes) -> list[tuple]:
+        blob, box = (S.build_local_header(key, len(x), 5) + x for x in (raw, C.build_container(raw)))
+        h = S.parse_local_header(blob, 5)
+        return [(h["ekey"].hex(), h["size"], h["valid"], S.read_local_content(blob)[30:] == raw, S.read_local_content(box) == raw)]
 
-def _header_json(blob: bytes) -> str:
-    import json
-
-    h = S.parse_local_header(blob, 5)
-    return json.dumps({"ekey": h["ekey"].hex(), "size": h["size"], "valid": h["valid"]})
+    d = _texts(spark, sf_dir).withColumn("ekey", F.unhex(F.md5(F.col("doc_id").cast("string"))))
+    return _by_document(d, ["raw", "ekey"], figures, "ekey string, size long, valid boolean, bare boolean, packed boolean")
 
 
 @query(f"WITH {_N} SELECT doc_id, hex(array_slice(raw, doc_id % 50 + 1, doc_id % 50 + 8)) AS data, least(8, greatest(0, n - doc_id % 50)) = 8 AS resident FROM d")

@@ -25,6 +25,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that go to a Python worker at once, where the session leaves that open.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that long texts do not come ten thousand at a time."""
+    key, unset = "spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)
+    if spark.conf.get(key, unset) == unset:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame, by: str, rows: int) -> DataFrame:
     """A table whose rows cost much more than their bytes say, dealt to tasks of some ``rows`` rows each.
 

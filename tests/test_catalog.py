@@ -61,3 +61,15 @@ def test_import_without_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip() == str(len(QUERIES)), out.stderr
+
+
+def test_documents_come_in_small_batches(spark, sf_dir):
+    """Texts are bounded by bytes, and blobs made of them stay in the worker."""
+    from strandline.plans import session
+
+    for name in ("chunk_tables", "local_blobs", "container_round_trip"):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        df = QUERIES[name](spark, sf_dir)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == session.BATCH_BYTES
+        if name != "container_round_trip":
+            assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
