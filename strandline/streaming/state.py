@@ -5,10 +5,13 @@ Stateful operators use ``applyInPandasWithState``; each has a batch twin over th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -49,15 +52,48 @@ def lru_stream(touches: DataFrame, capacity: int) -> DataFrame:
     return touches.groupBy("cache_id").applyInPandasWithState(step, LRU_OUT, LRU_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def lru_batch(touches: DataFrame, capacity: int) -> DataFrame:
-    """The same over a bounded table."""
+#: Touches of all caches to a chunk of ``lru_batch``.
+LRU_ROWS = 200_000
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        _, out = lru_fold([], list(zip(pdf["seq"].tolist(), pdf["key"].tolist(), strict=True)), capacity)
-        return pd.DataFrame([(pdf["cache_id"].iloc[0], *o) for o in out], columns=["cache_id", "seq", "key", "hit", "evicted"])
 
-    return touches.groupBy("cache_id").applyInPandas(step, LRU_OUT)
+def lru_batch(touches: DataFrame, capacity: int, rows: int = LRU_ROWS) -> DataFrame:
+    """The same over a bounded table, a chunk of each cache's log at a time.
+
+    A cache holds the keys touched last, whatever came before. So the last ``capacity`` keys of each chunk give the
+    state at the start of every later one, and chunks are folded side by side.
+    """
+    n = max(1, math.ceil(touches.count() / rows))
+    bounds = np.array(touches.approxQuantile("seq", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else [])
+
+    @F.pandas_udf("int")
+    def chunk(seq: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, seq.to_numpy(float), side="right").astype(np.int32))
+
+    t = touches.select("cache_id", "seq", "key").withColumn("chunk", chunk("seq"))
+    last = t.groupBy("cache_id", "chunk", "key").agg(F.max("seq").alias("seq"))
+    newest = Window.partitionBy("cache_id", "chunk").orderBy(F.desc("seq"), F.desc("key"))
+    last = last.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= capacity)
+
+    def starts(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("chunk", "ascending"), ("r", "descending")])
+        order: dict = {}
+        chunks, keys = [], []
+        for c, key in zip(table["chunk"].to_pylist(), table["key"].to_pylist(), strict=True):
+            if not chunks or chunks[-1] != c:
+                order = dict.fromkeys(list(order)[-capacity:])
+                chunks.append(c)
+                keys.append(list(order))
+            order.pop(key, None)
+            order[key] = None
+        return pa.table({"cache_id": pa.array([table["cache_id"][0].as_py()] * len(chunks), pa.int64()), "chunk": pa.array(chunks, pa.int32()), "keys": pa.array(keys, pa.list_(pa.string()))})
+
+    def step(table: pa.Table, start: pa.Table) -> pa.Table:
+        table = table.sort_by([("seq", "ascending"), ("key", "ascending")])
+        _, out = lru_fold(start["keys"][0].as_py(), list(enumerate(table["key"].to_pylist())), capacity)
+        return pa.table({"cache_id": table["cache_id"], "seq": table["seq"], "key": table["key"], "hit": pa.array([o[2] for o in out], pa.bool_()), "evicted": pa.array([o[3] for o in out], pa.string())})
+
+    start = last.groupBy("cache_id").applyInArrow(starts, "cache_id long, chunk int, keys array<string>")
+    return t.groupBy("cache_id", "chunk").cogroup(start.groupBy("cache_id", "chunk")).applyInArrow(step, LRU_OUT)
 
 
 #: Fixed values, STR-14: seconds that a server is left out after an error of a class; none for a missing file.

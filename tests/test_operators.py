@@ -123,6 +123,27 @@ def test_lru_stream_equals_batch(spark, tmp_path):
     assert rows(got, "cache_id", "seq") == rows(ST.lru_batch(data, 3), "cache_id", "seq")
 
 
+def test_lru_batch_holds_a_chunk_only(spark, monkeypatch):
+    import random
+
+    r = random.Random(6)
+    log = [(r.randrange(2), i * i, str(r.randrange(12))) for i in range(900)] + [(7, i, "only") for i in range(5)]
+    want = []
+    for c in (0, 1, 7):
+        want += [(c, *o) for o in ST.lru_fold([], [(s, k) for x, s, k in log if x == c], 8)[1]]
+    fold, most = ST.lru_fold, spark.sparkContext.accumulator(0)
+
+    def counted(keys, touches, capacity):
+        most.add(1)
+        assert len(touches) <= 120
+        return fold(keys, touches, capacity)
+
+    monkeypatch.setattr(ST, "lru_fold", counted)
+    data = spark.createDataFrame(log, "cache_id long, seq long, key string")
+    for n in (50, 100):
+        assert rows(ST.lru_batch(data, 8, n), "cache_id", "seq") == sorted(want)
+
+
 def test_event_windows_stream(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
