@@ -17,6 +17,7 @@ from strandline.operators import merges as M
 from strandline.operators import tables as TB
 from strandline.operators import topk as O
 from strandline.plans.catalog import query, table
+from strandline.plans.session import spread
 from strandline.streaming import state as ST
 
 _KINDS = ("Platform", "Architecture", "Locale", "Category", "Unknown", "Component", "Version", "Optimization", "Region", "Device", "Mode", "Branch", "Content", "Feature", "Expansion", "Alternate", "Option")
@@ -174,8 +175,8 @@ def remove_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_suppkey % 2 = 0")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-14, 26: rows whose keys are not among others."""
-    li = table(spark, sf_dir, "lineitem")
     cols = ("l_orderkey", "l_linenumber", "l_partkey")
+    li = spread(table(spark, sf_dir, "lineitem").select(*cols, "l_suppkey"), cols, 1_000_000)  # a task sorts that many, however many there are
     even = li.where("l_suppkey % 2 = 0").select(*cols)
     return M.without(li.select(*cols).distinct(), even, cols)
 

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def spread(df: DataFrame, by: str, rows: int) -> DataFrame:
+def spread(df: DataFrame, by: str | Sequence[str], rows: int) -> DataFrame:
     """A table whose rows cost much more than their bytes say, dealt to tasks of some ``rows`` rows each.
 
     Left to the bytes, a narrow table of any number of rows comes in one task or two. The count reads footers only.
     """
-    return df.repartition(max(1, math.ceil(df.count() / rows)), by)
+    return df.repartition(max(1, math.ceil(df.count() / rows)), *([by] if isinstance(by, str) else by))
 
 
 def ship(spark: SparkSession) -> None:

@@ -237,3 +237,11 @@ def test_report(spark):
     text = TB.report(df, 2).first()["report"]
     assert text.startswith("Total Files: 3\nTotal Size: 4.5 KB\nPriority Range: -1 to 4\nBase Priority Adjustment: 2\nEssential Content: 66.7%\n")
     assert [x.split(":")[0].strip() for x in text.split("Breakdown:\n")[1].split("\n")] == ["Critical", "Essential", "Normal"]
+
+
+def test_spread_gives_tasks_by_rows(spark):
+    from strandline.plans.session import spread
+
+    df = spark.range(1000).selectExpr("id", "id % 7 as b")
+    assert [spread(df, by, n).rdd.getNumPartitions() for by, n in (("id", 100), (("id", "b"), 300), ("id", 5000))] == [10, 4, 1]
+    assert rows(spread(df, ("id", "b"), 10), "id") == rows(df, "id") and spread(df.where("id < 0"), "id", 10).count() == 0
